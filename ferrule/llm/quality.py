@@ -48,20 +48,37 @@ def words(text: Column) -> Column:
 
 
 def removed(text: Column, characters: str) -> Column:
-    """How many of ``characters`` the text has."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """How many of ``characters`` the text has; texts without any are not rewritten."""
+    some = reduce(or_, [text.contains(c) for c in characters])
+    return F.when(some, F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(F.lit(0)).cast("long")
+
+
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACES)) != ""
+
+
+def letterless_or_menu(line: Column) -> Column:
+    """The rules that any line may fail: no letter, or nothing but a navigation word or two."""
+    return ~line.rlike(LETTER) | ((F.length(line) <= NAVIGATION_SIZE) & line.rlike(NAVIGATION))
 
 
 def line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules; a line without a word never fails."""
     size = F.length(line)
     symbols = size - F.length(F.translate(line, SYMBOLS, ""))
-    punctuation = (symbols > size * F.lit(MAX_SYMBOLS)) | ~line.rlike(LETTER)
     separators = size - F.length(F.translate(line, SEPARATORS, ""))
-    navigation = (separators >= 2) | ((size <= NAVIGATION_SIZE) & line.rlike(NAVIGATION))
-    folded = F.lower(line)
-    boilerplate = reduce(or_, [folded.contains(phrase) for phrase in BOILERPLATE])
-    return (F.btrim(line, F.lit(SPACES)) != "") & (punctuation | navigation | boilerplate)
+    return has_word(line) & (letterless_or_menu(line) | (symbols > size * F.lit(MAX_SYMBOLS)) | (separators >= 2) | boilerplate(line))
+
+
+def boilerplate(text: Column) -> Column:
+    folded = F.lower(text)
+    return reduce(or_, [folded.contains(phrase) for phrase in BOILERPLATE])
+
+
+def good_lines(text: Column, lines: Column) -> Column:
+    """Lines that pass.  A text without any symbol, separator or phrase can fail by the other rules only."""
+    some = reduce(or_, [text.contains(c) for c in SYMBOLS + SEPARATORS]) | boilerplate(text)
+    return F.when(some, F.filter(lines, lambda x: ~line_fails(x))).otherwise(F.filter(lines, lambda x: ~(has_word(x) & letterless_or_menu(x))))
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -83,8 +100,9 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         "__text",
         n.cast("long").alias("n_words"),
         ordered.alias("__grams"),
-        F.filter("__lines", lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("__worded"),
-        F.filter("__lines", lambda x: ~line_fails(x)).alias("__good"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.filter("__lines", has_word).alias("__worded"),
+        good_lines(F.col("__text"), F.col("__lines")).alias("__good"),
     )
     m = F.size("__grams")
     pairs = F.filter(
@@ -95,6 +113,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         *rest,
         "__text",
         "n_words",
+        "word_chars",
         pairs.alias("__pairs"),
         (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"),
         F.array_join("__good", "\n").alias("clean_text"),
@@ -109,7 +128,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     stage = stage.select(
         *rest,
         "n_words",
-        (whole.cast("long") - removed(F.col("__text"), SPACES)).alias("word_chars"),
+        "word_chars",
         removed(F.col("__text"), SYMBOLS).alias("n_symbols"),
         "n_dup_lines",
         covered.alias("n_repeat_words"),
