@@ -43,10 +43,9 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    acc, q = np.zeros(n, dtype=U64), U64(1)
+    acc = np.zeros(n, dtype=U64)
     for j in range(k):
-        acc += hashes[j : j + n] * q
-        q = q * ta._Q
+        acc += hashes[j : j + n] * ta.factor(j)
     return ta.mix64(acc + U64(k))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
-_Q = U64(0xD6E8FEB86659FD93)
+_Q = 0xD6E8FEB86659FD93
 
 #: ASCII letters folded to lower case, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -60,6 +60,11 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def factor(j: int) -> np.uint64:
+    """What the hash of a run's word j is multiplied by."""
+    return U64(pow(_Q, j, 1 << 64))
+
+
 class Words(NamedTuple):
     data: np.ndarray  # folded bytes of the chunk
     sums: np.ndarray  # running polynomial sums, one more than bytes
@@ -128,20 +133,17 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(words.counts)))[:-1]
     rows, out = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
     if n >= k:
-        acc, q = np.zeros(n - k + 1, dtype=U64), U64(1)
+        acc = np.zeros(n - k + 1, dtype=U64)
         for j in range(k):
-            acc += h[j : n - k + 1 + j] * q
-            q = q * _Q
+            acc += h[j : n - k + 1 + j] * factor(j)
         whole = words.doc[: n - k + 1] == words.doc[k - 1 :]
         rows, out = words.doc[: n - k + 1][whole], mix64(acc[whole] + U64(k))
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     if len(short):
         extra = np.zeros(len(short), dtype=U64)
-        q = U64(1)
         for j in range(k - 1):
             has = words.counts[short] > j
-            extra[has] += h[first[short[has]] + j] * q
-            q = q * _Q
+            extra[has] += h[first[short[has]] + j] * factor(j)
         extra = mix64(extra + words.counts[short].astype(U64))
         rows, out = np.concatenate((rows, short)), np.concatenate((out, extra))
         order = np.argsort(rows, kind="stable")

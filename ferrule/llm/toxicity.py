@@ -87,7 +87,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, seed: int = 7) -
     x[rows[used], where[terms[used]]] = 1
     rng = np.random.default_rng(seed)
     w = np.zeros(len(best), dtype=np.float32)
-    v = (rng.standard_normal((len(best), FACTORS)) * 0.02).astype(np.float32)
+    v = (rng.standard_normal((len(best), FACTORS)) * 0.05).astype(np.float32)
     bias, g_bias = np.float32(np.log(n1 / (n - n1))), np.float32(1e-6)
     g_w, g_v = np.full_like(w, 1e-6), np.full_like(v, 1e-6)
     weight = np.where(labels > 0, 0.5 * n / n1, 0.5 * n / (n - n1)).astype(np.float32)
@@ -106,7 +106,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 30, seed: int = 7) -
             g_v += dv**2
             g_bias += db**2
             w -= 0.2 * dw / np.sqrt(g_w)
-            v -= 0.02 * dv / np.sqrt(g_v)
+            v -= 0.05 * dv / np.sqrt(g_v)
             bias -= 0.2 * db / np.sqrt(g_bias)
     return Model(best.astype(np.int32), float(bias), w, v)
 

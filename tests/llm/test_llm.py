@@ -344,8 +344,10 @@ def test_toxicity_learns_pairs_and_held_out(spark):
         texts.append(" ".join(noise() + ["insult"] * a + ["group"] * b))
         labels.append(a * b)
     model = toxicity.fit(texts, np.array(labels))
-    scores = toxicity.predict(model, pa.array(["insult", "group", "insult group", "", None]))
-    assert scores[2] > 0.5 > max(scores[0], scores[1], scores[3], scores[4])
+    fresh = [" ".join(noise() + more) for more in (["insult"], ["group"], ["insult", "group"], []) for _ in range(50)]
+    toxic = (toxicity.predict(model, pa.array(fresh)) >= 0.5).reshape(4, 50).mean(1)
+    assert toxic[2] > 0.95 and max(toxic[0], toxic[1], toxic[3]) < 0.05
+    assert np.allclose(*toxicity.predict(model, pa.array(["", None], pa.string())))
     got = toxicity.query(spark, "/root/testdata/sf0.1").join(ta.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
     assert toxicity.fit([], np.array([])).bias == -40.0
