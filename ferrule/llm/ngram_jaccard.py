@@ -8,10 +8,11 @@ one; none without words).  Two documents link when 100 * intersection >= 80 * un
    group that would grow beyond ``GROUP`` is split by a hash of the id (its load is counted
    first, so one hot family never meets in one task).
 3. The matrix: each group stores the union of its members' tokens, first of the prefix
-   tokens alone.  A set's prefix is its n - ceil(0.8 n) + 1 rarest tokens; sets that link
-   share one of them, so group pairs without a common prefix token are left out, exactly.
-   Rarity comes from counters over all documents (``CELLS`` of them, a fixed size); any
-   order is right, rare first keeps common passages out of the prefixes.
+   tokens alone.  A set's prefix is its n - ceil(0.8 n) + e(n) rarest tokens, where
+   e(n) = 1 + n // ``EXTRA``; sets that link share at least e(smaller n) of them, so group
+   pairs with fewer common prefix tokens are left out, exactly.  Rarity comes from counters
+   over all documents (``CELLS`` of them, a fixed size); any order is right, rare first keeps
+   common passages out of the prefixes.
 4. Groups that have a partner, or two members, store the union of all their tokens and a
    bit matrix of members by tokens.  For each pair of groups, a member's overlap with the
    other's union bounds its overlap with any member there; only groups with a qualifying
@@ -37,7 +38,10 @@ from . import text_arrays as ta
 
 K = 5
 NUM, DEN = 80, 100
+EXTRA = 10
 GROUP = 128
+#: Bits of the map of wanted documents that goes to the scan; a full map passes more rows, loses none.
+MAP_BITS = 24
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
 SLICES = 64
@@ -109,7 +113,7 @@ def summaries(docs: DataFrame, ranks: np.ndarray, text_col: str, id_col: str) ->
             family[some] = np.minimum.reduceat(ta.mix64(h ^ LINK), first[some])
             band = np.floor(np.log(n[some]) / np.log(1.25)).astype(U64)
             family[some] = ta.mix64(family[some] + band * LINK)
-        prefix = np.where(some, n - -(-NUM * n // DEN) + 1, 0)
+        prefix = np.where(some, np.minimum(n, n - -(-NUM * n // DEN) + 1 + n // EXTRA), 0)
         at = np.arange(prefix.sum()) + np.repeat(first - (np.cumsum(prefix) - prefix), prefix)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)), pa.array(h[at].view(np.int64)))
         longs = [pa.array(x.view(np.int64)) for x in (row_sums(ta.mix64(h), first, n), row_sums(ta.mix64(h ^ LINK), first, n), family)]
@@ -134,9 +138,27 @@ def payload_row(gid: int, members: dict[int, tuple[np.ndarray, int]]) -> tuple:
     return gid, cids, [len(s) for s in sets], [members[c][1] for c in cids], union.astype("<u8").tobytes(), np.packbits(bits, axis=1).tobytes()
 
 
+def only_wanted(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Texts that may be wanted, by a bit map of fixed size over the ids: fewer rows to shuffle."""
+    slot = F.pmod(F.xxhash64("cid"), F.lit(1 << MAP_BITS))
+    slots = needed.select(slot.alias("slot")).selectExpr("cast(slot div 64 as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b")
+    rows = slots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)  # as many rows as words at most
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    bits = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    packed = zlib.compress(np.packbits(bits).tobytes(), 1)
+
+    def run(batches):
+        wanted = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).columns[:2], names=["cid", "text"])
+
+    return texts.where("cid is not null").withColumn("slot", slot).mapInArrow(run, T.StructType(texts.schema.fields))
+
+
 def payloads(needed: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """``needed``: gid, cid, copies, h1, h2.  A row for each group, built as its members stream by."""
-    texts = docs.select(docs[id_col].alias("cid"), docs[text_col].cast("string").alias("text"))
+    texts = only_wanted(docs.select(docs[id_col].alias("cid"), docs[text_col].cast("string").alias("text")), needed)
     rows = needed.join(texts, "cid").select("gid", "cid", "copies", "h1", "h2", "text")
     schema = pa.schema([("gid", pa.int64()), ("cids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("tokens", pa.binary()), ("bits", pa.binary())])
 
@@ -280,21 +302,24 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     """doc_id, n_shingles, component_id, n_links (linked documents, copies included), class_id."""
     ranks = rarity(df, text_col)
     every = ta.cut(summaries(df, ranks, text_col, id_col), "summaries")
-    classes = every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("family").alias("family"), F.first("prefix").alias("prefix"))
+    classes = every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("family").alias("family"))
     classes = ta.cut(classes, "classes")
     hot = classes.groupBy("family").agg(F.count("*").alias("load")).where(F.col("load") > GROUP * 3 // 4)
     lanes = F.ceil(F.coalesce("load", F.lit(1)) / F.lit(GROUP * 3 // 4))
     placed = classes.join(hot, "family", "left").withColumn("gid", F.xxhash64("family", F.pmod(F.xxhash64("cid"), lanes)))
-    placed = ta.cut(placed.select("gid", "cid", "n", "copies", "h1", "h2", "prefix"), "placed")
+    placed = ta.cut(placed.select("gid", "cid", "n", "copies", "h1", "h2"), "placed")
+    own = every.select(F.col("doc_id").alias("cid"), "n", "h1", "h2", "prefix").join(placed, ["cid", "n", "h1", "h2"])
     tokens = (
-        placed.groupBy("gid")
-        .agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-        .select("gid", "least", "most", "members", F.explode("tokens").alias("token"))
+        own.groupBy("gid")
+        .agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"))
+        .select("gid", "least", "most", F.explode("tokens").alias("token"))
     )
     spread = tokens.repartition("token")
     a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "least", "most")]) for x in "ab")
     near = (F.col("gid_a") < F.col("gid_b")) & (DEN * F.col("most_a") >= NUM * F.col("least_b")) & (DEN * F.col("most_b") >= NUM * F.col("least_a"))
-    pairs = ta.cut(a.join(b, "token").where(near).groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb")).agg(F.count("*").alias("shared")).drop("shared"), "pairs")
+    met = a.join(b, "token").where(near).groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"))
+    shared = met.agg(F.count("*").alias("shared"), F.min(F.least("least_a", "least_b")).alias("least"))
+    pairs = ta.cut(shared.where(F.col("shared") >= 1 + F.floor(F.col("least") / EXTRA)).select("ga", "gb"), "pairs")
     many = placed.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
     wanted = pairs.select(F.col("ga").alias("gid")).unionByName(pairs.select(F.col("gb").alias("gid"))).unionByName(many).distinct()
     needed = placed.select("gid", "cid", "copies", "h1", "h2").join(wanted, "gid")
