@@ -56,28 +56,31 @@ def select_random(candidates: DataFrame, keys: list[str], ids: list[str], seed:
     return select_min(candidates, keys, [key, *ids], k)
 
 
-def first_matches(candidates: DataFrame, facts: list[str], order: list[str], rounds: int = 1000) -> DataFrame:
+def first_matches(candidates: DataFrame, facts: list[str], order: list[str], kinds: list[str] | None = None, rounds: int = 1000) -> DataFrame:
     """The candidates that greedy matching in order takes; ``facts`` are their fact-id columns.
 
-    Raises when ``rounds`` don't suffice; nothing is cut off silently.
+    Columns of one kind draw on the same facts (by default each column is a kind of its own), so
+    a fact is used once wherever it stands.  Raises when ``rounds`` don't suffice; nothing is
+    cut off silently.
     """
+    kinds = kinds or facts
     steps = Steps(candidates.sparkSession, "matches")
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in zip(kinds, facts)])
     rank = F.struct(*order, *facts)
-    left = steps.put(candidates)
+    left = steps.put(candidates.withColumn("__rank", rank).withColumn("__facts", named))
     chosen = None
     for _ in range(rounds):
         if left.isEmpty():
             return chosen if chosen is not None else candidates.limit(0)
-        best: Column = F.lit(True)
-        marked = left.withColumn("__rank", rank)
-        for c in facts:
-            marked = marked.withColumn(f"__{c}", F.min("__rank").over(W.partitionBy(c)))
-            best = best & (F.col("__rank") == F.col(f"__{c}"))
-        win = steps.put(marked.where(best).select(*candidates.columns))
-        chosen = win if chosen is None else chosen.unionByName(win)
-        for c in facts:
-            left = left.join(win.select(c).distinct(), c, "left_anti")
-        left = steps.put(left.select(*candidates.columns))
+        each = left.select("__rank", F.explode("__facts").alias("fact"))
+        first = each.groupBy("fact").agg(F.min("__rank").alias("first"))
+        win = each.join(first, "fact").groupBy("__rank").agg(F.min(F.col("__rank") == F.col("first")).alias("won")).where("won").select("__rank")
+        win = steps.put(left.join(win, "__rank", "left_semi"))
+        taken = win.select(*candidates.columns)
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        used = win.select(F.explode("__facts").alias("fact")).distinct()
+        lost = each.join(used, "fact", "left_semi").select("__rank").distinct()
+        left = steps.put(left.join(lost, "__rank", "left_anti"))
     raise RuntimeError(f"matching did not end in {rounds} rounds")
 
 

@@ -169,7 +169,7 @@ class Program:
             if len(ids) == 1 and len(rule.body) > 1:
                 got = select_min(got, ids, [*plain, *[c for c in got.columns if c.startswith("__f") and c not in ids]])
             elif len(ids) > 1:
-                got = first_matches(got, ids, plain)
+                got = first_matches(got, ids, plain, [rule.body[int(c[3:])].predicate for c in ids])
             matched = got
         for i, a in enumerate(rule.body):
             if f"__f{i}" in ids:
