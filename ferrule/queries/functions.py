@@ -14,12 +14,12 @@ def lists(spark, d):
     return Tables(spark, d).lineitem.groupBy(F.col("l_orderkey").alias("node")).agg(F.sort_array(F.collect_list("l_partkey")).alias("xs"), F.sort_array(F.collect_set("l_suppkey")).alias("ys"))
 
 
-@query(f"select node, len(xs) as n, xs[2] as second, xs[-1] as last, list_reverse(xs) as back, list_concat(xs, ys) as both, list_count(list_filter(xs, lambda x: x = xs[1])) as firsts from {LISTS}")
+@query(f"select node, len(xs) as n, xs[2] as second, xs[-1] as last, list_reverse(xs) as back, list_concat(xs, ys) as appended, list_count(list_filter(xs, lambda x: x = xs[1])) as firsts from {LISTS}")
 def builtin_list_basic(spark, d):
     xs, ys = F.col("xs"), F.col("ys")
     return lists(spark, d).select(
         "node", B.llength(xs).cast("long").alias("n"), B.lnth(xs, 1).alias("second"), B.listlast(xs).alias("last"), B.lreverse(xs).alias("back"),
-        B.lappend(xs, ys).alias("both"), B.listcount(xs, B.lnth(xs, 0)).cast("long").alias("firsts"),
+        B.lappend(xs, ys).alias("appended"), B.listcount(xs, B.lnth(xs, 0)).cast("long").alias("firsts"),
     )
 
 
@@ -64,12 +64,12 @@ def builtin_math(spark, d):
     )
 
 
-@query("""select c_custkey as node, c_name || c_mktsegment as both, cast(c_custkey as varchar) as text, cast('42' as int) as i, cast('2.5' as double) as f,
+@query("""select c_custkey as node, c_name || c_mktsegment as appended, cast(c_custkey as varchar) as text, cast('42' as int) as i, cast('2.5' as double) as f,
 [c_nationkey, 7] as parsed, c_nationkey as kept from customer""")
 def builtin_string(spark, d):
     t = Tables(spark, d).customer
     return t.select(
-        F.col("c_custkey").alias("node"), B.concatenate(F.col("c_name"), F.col("c_mktsegment")).alias("both"), B.int2str(F.col("c_custkey")).alias("text"), B.str2int("42").alias("i"),
+        F.col("c_custkey").alias("node"), B.concatenate(F.col("c_name"), F.col("c_mktsegment")).alias("appended"), B.int2str(F.col("c_custkey")).alias("text"), B.str2int("42").alias("i"),
         B.str2float("2.5").alias("f"), B.str2intlist(F.concat_ws(",", F.col("c_nationkey").cast("string"), F.lit("7"))).alias("parsed"), B.wastetime(F.col("c_nationkey")).alias("kept"),
     )
 

@@ -28,7 +28,7 @@ def test_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((plain(tuple(r)) for r in df.select(*columns).collect()), key=repr)
-    want = con.sql(f"select {', '.join(columns)} from ({ORACLE[name]}) t").fetchall()
+    want = con.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({ORACLE[name]}) t").fetchall()
     assert got == sorted(map(plain, want), key=repr)
 
 
