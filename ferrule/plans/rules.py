@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.match import first_matches, select_min, select_random
+from ..operators.match import first_matches, pair_by_rank, select_min, select_random
 from .fixpoint import NoFixpoint
 from .relation import FID, linear, payload
 from .storage import Steps
@@ -130,11 +130,14 @@ class Program:
             columns.append(F.col(FID).alias(f"__f{at}"))
         return df.select(*columns)
 
-    def _matches(self, facts: dict[str, DataFrame], atoms: tuple[Atom, ...], start: DataFrame | None = None, offset: int = 0) -> DataFrame:
-        """All combinations: a left-deep chain of equi-joins on shared variables; the optimiser may reorder it."""
+    def _matches(self, facts: dict[str, DataFrame], atoms: tuple[Atom, ...], start: DataFrame | None = None, offset: int = 0, places: dict[int, DataFrame] | None = None) -> DataFrame:
+        """All combinations: a left-deep chain of equi-joins on shared variables; the optimiser may reorder it.
+
+        ``places`` gives other facts to single atoms, by their position.
+        """
         out = start
         for i, atom in enumerate(atoms):
-            right = self._atom_frame(facts, atom, offset + i)
+            right = self._atom_frame({atom.predicate: places[i]} if places and i in places else facts, atom, offset + i)
             if out is None:
                 out = right
                 continue
@@ -148,9 +151,23 @@ class Program:
                         out = out.where(F.col(f"__f{offset + j}") != F.col(f"__f{offset + i}"))
         return out
 
-    def apply(self, facts: dict[str, DataFrame], rule: Rule) -> tuple[DataFrame, dict[str, DataFrame], dict[str, list[DataFrame]]]:
+    def _pairs(self, facts: dict[str, DataFrame], rule: Rule) -> DataFrame | None:
+        """Matches of a rule whose two facts only have to share their key: the n-th of the one with the n-th
+        of the other, which is what greedy matching takes, without making all combinations."""
+        names = {a.predicate for a in rule.body}
+        plain = len(rule.body) == 2 == len(names) and rule.where is None and not rule.select and not rule.aggregates
+        if not plain or not all(self.predicates[a.predicate].is_linear and not a.keep for a in rule.body):
+            return None
+        left, right = (self._atom_frame(facts, a, i) for i, a in enumerate(rule.body))
+        keys = [c for c in left.columns if c in right.columns]
+        if not keys:
+            return None
+        return pair_by_rank(left, right, keys, [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys])
+
+    def apply(self, facts: dict[str, DataFrame], rule: Rule, places: dict[int, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame], dict[str, list[DataFrame]]]:
         """(matches taken, used fact ids by predicate, derived facts by predicate) of one run."""
-        got = self._matches(facts, rule.body)
+        paired = self._pairs(facts, rule)
+        got = self._matches(facts, rule.body, places=places) if paired is None else paired
         for name, value in rule.lets:
             got = got.withColumn(name, value)
         if rule.where is not None:
@@ -168,7 +185,7 @@ class Program:
         else:
             if len(ids) == 1 and len(rule.body) > 1:
                 got = select_min(got, ids, [*plain, *[c for c in got.columns if c.startswith("__f") and c not in ids]])
-            elif len(ids) > 1:
+            elif len(ids) > 1 and paired is None:
                 got = first_matches(got, ids, plain, [rule.body[int(c[3:])].predicate for c in ids])
             matched = got
         for i, a in enumerate(rule.body):
@@ -199,49 +216,86 @@ class Program:
             df = facts.get(name)
             df = self.frame(name, []) if df is None else df.select(*[df[c].cast(t).alias(f) for c, f, t in zip(df.columns, p.fields, p.types)])
             now[name] = steps.put(linear(df) if p.is_linear else df.distinct())
-        order = sorted(range(len(self.rules)), key=lambda i: (self._uses_linear(self.rules[i]), i))
+        fresh = {n: now[n] for n, p in self.predicates.items() if not p.is_linear and not now[n].isEmpty()}
+        settled: dict[str, DataFrame] = {}
+        rules = [r for r in self.rules if self._uses_linear(r)]
         for _ in range(rounds):
-            for i in order:
-                rule = self.rules[i]
-                if any(now[a.predicate].isEmpty() for a in rule.body):
-                    continue
-                if self._step(now, rule, steps):
-                    break
-            else:
-                return {n: df.select(*payload(df)) for n, df in now.items()}
+            self._saturate(now, settled, fresh, steps, rounds)
             if self.stop_on and not now[self.stop_on].isEmpty():
-                return {n: df.select(*payload(df)) for n, df in now.items()}
-        raise NoFixpoint(f"the program did not end in {rounds} rule runs")
+                break
+            for rule in rules:
+                if not any(now[a.predicate].isEmpty() for a in rule.body):
+                    fresh = self._step(now, rule, steps)
+                    if fresh is not None:
+                        break
+            else:
+                break
+        else:
+            raise NoFixpoint(f"the program did not end in {rounds} rule runs")
+        return {n: df.select(*payload(df)) for n, df in now.items()}
+
+    def _saturate(self, now: dict[str, DataFrame], settled: dict[str, DataFrame], fresh: dict[str, DataFrame], steps: Steps, rounds: int) -> None:
+        """Persistent rules to their fixpoint; every match is made once, when its last fact is new.
+
+        ``settled`` holds the facts that these rules have seen, ``fresh`` those that they haven't.
+        """
+        rules = [r for r in self.rules if not self._uses_linear(r)]
+        for _ in range(rounds):
+            if not fresh:
+                return
+            made: dict[str, list[DataFrame]] = {}
+            for rule in rules:
+                names = [a.predicate for a in rule.body]
+                if not any(n in fresh for n in names) or any(n not in fresh and n not in settled for n in names):
+                    continue
+                if rule.aggregates or rule.select:
+                    plans = [self.apply(now, rule)[2]]
+                else:  # atoms before the new fact see old facts, those after it see all
+                    spots = [i for i, n in enumerate(names) if n in fresh and all(m in settled for m in names[:i])]
+                    plans = [self.apply(now, rule, {j: settled[n] if j < i else fresh[n] if j == i else now[n] for j, n in enumerate(names)})[2] for i in spots]
+                for heads in plans:
+                    for name, dfs in heads.items():
+                        made.setdefault(name, []).extend(dfs)
+            for name in fresh:
+                settled[name] = now[name]
+            fresh = {}
+            for name, dfs in sorted(made.items()):
+                new = self._absorb(now, name, dfs, steps)
+                if new is not None:
+                    fresh[name] = new
+        raise NoFixpoint(f"the persistent rules did not end in {rounds} rounds")
+
+    def _absorb(self, now: dict[str, DataFrame], name: str, made: list[DataFrame], steps: Steps) -> DataFrame | None:
+        """Add derived facts to a relation; returns the new facts of a persistent one."""
+        p, rows = self.predicates[name], reduce(DataFrame.unionByName, made)
+        if p.is_action:
+            for row in steps.put(rows).toLocalIterator():
+                self.actions[name](row)
+            return None
+        if p.is_linear:
+            now[name] = steps.put(linear(now[name].select(*p.fields).unionByName(rows)))
+            return None
+        new = steps.put(rows.distinct().join(now[name], list(p.fields), "left_anti"))
+        if new.isEmpty():
+            return None
+        grown = now[name].unionByName(new)
+        now[name] = steps.put(grown) if steps.count % 8 == 0 else grown
+        return new
 
     def _uses_linear(self, rule: Rule) -> bool:
         return any(self.predicates[a.predicate].is_linear for a in rule.body)
 
-    def _step(self, now: dict[str, DataFrame], rule: Rule, steps: Steps) -> bool:
+    def _step(self, now: dict[str, DataFrame], rule: Rule, steps: Steps) -> dict[str, DataFrame] | None:
+        """One run of a rule that uses facts up; None if nothing matched, else the new persistent facts."""
         matched, used, made = self.apply(now, rule)
-        uses = self._uses_linear(rule)
-        if uses:
-            matched = steps.put(matched)
-            if matched.isEmpty():
-                return False
-        changed = uses
-        for name in sorted({*used, *made}):
-            p = self.predicates[name]
-            new = [steps.put(df) for df in made.get(name, [])]
-            if p.is_action:
-                for df in new:
-                    for row in df.toLocalIterator():
-                        self.actions[name](row)
-                continue
-            if p.is_linear:
-                left = now[name]
-                if name in used:
-                    left = left.join(used[name].distinct(), FID, "left_anti")
-                left = left.select(*p.fields)
-                now[name] = steps.put(linear(reduce(DataFrame.unionByName, new, left)))
-                changed = changed or any(not df.isEmpty() for df in new)
-            elif new:
-                fresh = steps.put(reduce(DataFrame.unionByName, new).distinct().join(now[name], list(p.fields), "left_anti"))
-                if not fresh.isEmpty():
-                    now[name] = now[name].unionByName(fresh)
-                    changed = True
-        return changed
+        if steps.put(matched).isEmpty():
+            return None
+        made = {name: [steps.put(df) for df in dfs] for name, dfs in made.items()}  # heads see the facts before the run
+        left = {name: steps.put(now[name].join(ids.distinct(), FID, "left_anti")) for name, ids in used.items()}
+        now.update(left)
+        fresh = {}
+        for name, dfs in sorted(made.items()):
+            new = self._absorb(now, name, dfs, steps)
+            if new is not None:
+                fresh[name] = new
+        return fresh
