@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import text_arrays as ta
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-REMEMBER = 600_000
+REMEMBER = 150_000
 #: A blank beside another space; re's spaces hold all of the pattern's.
 UNEVEN = re.compile(r" \s|\s ")
 
@@ -240,7 +240,11 @@ class Encoder:
         """(ids of all texts, offsets of each); the new words of all of them are replayed together."""
         if len(self.units) > REMEMBER:
             self.units.clear()
-        return self.units.number([self.units_of(t) if t else [] for t in texts], self.learn_units)
+        gc.disable()  # no cycles are made here, and all the words would be walked again and again
+        try:
+            return self.units.number([self.units_of(t) if t else [] for t in texts], self.learn_units)
+        finally:
+            gc.enable()
 
     def units_of(self, text: str) -> list:
         """Units of a text: a plain string stands behind a blank, a string in a tuple by itself."""
@@ -262,7 +266,6 @@ def encoder_for(path: str) -> Encoder:
     """The worker's encoder for this vocabulary: tasks of one worker share the words it has seen."""
     key = (path, pattern())
     if key not in _ENCODERS:
-        gc.disable()  # no cycles are made here, and millions of words would be walked again and again
         _ENCODERS[key] = Encoder(load_ranks(path))
     return _ENCODERS[key]
 
@@ -329,9 +332,26 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", name: s
     return df.select(*[df[c] for c in keep]).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, the bytes decoded from those ids; both made by one worker."""
+    path = path or vocabulary_path()
+
+    def make():
+        encoder, decoder = encoder_for(path), Decoder(load_ranks(path))
+
+        def run(texts: pa.Array) -> list[pa.Array]:
+            flat, offsets = encoder.encode_flat(texts.to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            return [ids, decoder(ids)]
+
+        return run
+
+    return ta.map_texts(df, make, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], text_col, keep, factory=True)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ta.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, keep=["doc_id"]))
+    coded = round_trip(docs, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
