@@ -195,8 +195,11 @@ def map_texts(
     new = {name.lower() for name, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t, True) for n, t in fields])
-    hidden = "__text__"
-    source = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias(hidden))
+    if text_col in keep and df.schema[text_col].dataType == T.StringType():  # the text travels once
+        hidden, source = text_col, df.select(*[df[c] for c in keep])
+    else:
+        hidden = "__text__"
+        source = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias(hidden))
     names = [*keep, *[n for n, _ in fields]]
 
     def run(batches):
