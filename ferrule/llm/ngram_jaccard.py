@@ -63,16 +63,16 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
         spread = int(cells.sum()) % SLICES  # tasks meet in two steps
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([spread] * SLICES, pa.int32()), pa.array(rows, pa.binary())], names=["slice", "part", "cells"])
 
-    def add(pdf):
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.int64)
-        for x in pdf["cells"]:
-            total += np.frombuffer(zlib.decompress(x), "<u4")
+        for x in rows.column("cells"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
         out = zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)
-        return pdf.iloc[:1][["slice", "part"]].assign(cells=[out])
+        return rows.slice(0, 1).select(["slice", "part"]).append_column("cells", pa.array([out], pa.binary()))
 
     schema = "slice int, part int, cells binary"
     parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, schema)
-    sums = parts.groupBy("slice", "part").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    sums = parts.groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
     out = np.zeros(CELLS, dtype=np.float64)
     for r in sums.collect():  # SLICES rows, CELLS counters in all
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["cells"]), "<u4")
@@ -304,7 +304,7 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     every = ta.cut(summaries(df, ranks, text_col, id_col), "summaries")
     classes = every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("family").alias("family"))
     classes = ta.cut(classes, "classes")
-    hot = classes.groupBy("family").agg(F.count("*").alias("load")).where(F.col("load") > GROUP * 3 // 4)
+    hot = ta.cut(classes.groupBy("family").agg(F.count("*").alias("load")).where(F.col("load") > GROUP * 3 // 4), "hot")
     lanes = F.ceil(F.coalesce("load", F.lit(1)) / F.lit(GROUP * 3 // 4))
     placed = classes.join(hot, "family", "left").withColumn("gid", F.xxhash64("family", F.pmod(F.xxhash64("cid"), lanes)))
     placed = ta.cut(placed.select("gid", "cid", "n", "copies", "h1", "h2"), "placed")
