@@ -385,6 +385,13 @@ def test_lm_base_against_brute_force(spark, monkeypatch):
         assert got[i].score < 0
 
 
+def test_lm_context_width():
+    assert (lm_attention.WINDOW, lm_attention.HEADS, lm_attention.BANDS) == (32, 72, 24)
+    _, begin, length, skip = lm_attention.windows(np.array([500]))
+    first = begin + skip  # of each later window: so many ids before it stand in the same window
+    assert len(begin) > 10 and (first[1:] - begin[1:] >= 8).all() and (length[:-1] == 32).all()
+
+
 def test_lm_windows_score_each_id_once():
     sizes = np.array([1, 5, 24, 25, 44, 45, 200])
     row, begin, length, skip = lm_attention.windows(sizes)
