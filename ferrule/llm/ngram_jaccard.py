@@ -268,34 +268,41 @@ def verified(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, links long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(cid, component_id) of every vertex of ``edges`` (a, b): the smallest id it reaches.
 
-    Each round hooks every vertex to its smallest neighbour, follows the hooks once more
-    and contracts the edges; each step is written to the shared folder.
+    Each round hooks every vertex to its least neighbour, follows the hooks until they end at
+    roots and contracts the edges; each step is written to the shared folder.  The first round
+    compares ids, which settles stars and sorted chains; the others compare hashes that change
+    with the round, so half of the vertices or more go on average and rounds are logarithmic.
     """
     left = ta.cut(edges.select("a", "b").distinct(), "edges")
-    labels = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    labels, turn = None, 0
+    while not left.isEmpty():  # a round removes one vertex at least from each part with an edge
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"))
-        hook = ta.cut(hook, "hooks")
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook = ta.cut(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "hooks")
-        moved = hook.select(F.col("v").alias("component_id"), F.col("p").alias("to"))
+        own, other = (F.xxhash64(c, F.lit(turn)) if turn else F.col(c) for c in "ab")
+        hook = ends.groupBy("a").agg(F.min_by("b", other).alias("b"), F.min(other).alias("least"))
+        hook = ta.cut(hook.select(F.col("a").alias("v"), F.when(F.col("least") < own, F.col("b")).otherwise(F.col("a")).alias("p")), "hooks")
+        moving = True
+        while moving:  # the distance to the root halves with each hop
+            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            hook = ta.cut(hook.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "hooks")
+            moving = not hook.where("moved").isEmpty()
+        moved = hook.select(F.col("v").alias("root"), F.col("p").alias("to"))
         if labels is None:
-            labels = hook.select(F.col("v").alias("cid"), F.col("p").alias("component_id"))
+            labels = hook.select(F.col("v").alias("cid"), F.col("p").alias("root"))
         else:
-            labels = labels.join(moved, "component_id", "left").select("cid", F.coalesce("to", "component_id").alias("component_id"))
-            labels = ta.cut(labels, "labels")
+            labels = ta.cut(labels.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root")), "labels")
         a, b = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         left = left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         left = ta.cut(left, "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.sparkSession.createDataFrame([], "cid long, component_id long") if labels is None else labels
+        turn += 1
+    if labels is None:
+        return edges.sparkSession.createDataFrame([], "cid long, component_id long")
+    if turn == 1:  # hooked by id alone: roots are the smallest ids
+        return labels.withColumnRenamed("root", "component_id")
+    least = labels.groupBy("root").agg(F.min("cid").alias("component_id"))
+    return labels.join(least, "root").select("cid", "component_id")
 
 
 def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -103,6 +103,24 @@ def test_jaccard_chain_and_empty(spark):
     assert ngram_jaccard.join(frame(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_long_drift(spark):
+    n = 3000
+    texts = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 60))) for i in range(n)]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_jaccard.join(frame(spark, texts)).collect()}
+    assert got == {i: (0, 1 if i in (0, n - 1) else 2) for i in range(n)}
+
+
+def test_components_of_chains_and_trees(spark):
+    rng = random.Random(8)
+    mixed = rng.sample(range(10**6), 3000)
+    chain = list(zip(mixed[:1500], mixed[1:1500]))
+    tree = [(mixed[1500 + i], mixed[1500 + rng.randrange(i)]) for i in range(1, 1000)]
+    star = [(mixed[2500], x) for x in mixed[2501:]]
+    edges = spark.createDataFrame([*chain, *tree, *star, (mixed[0], mixed[0])], "a long, b long")
+    got = {r.cid: r.component_id for r in ngram_jaccard.components(edges).collect()}
+    assert got == {v: min(part) for part in (mixed[:1500], mixed[1500:2500], mixed[2500:]) for v in part}
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 9.0, "x"), (1, "a b c d e f", 9.0, "x"), (2, None, 1.0, "y")], "doc_id long, text string, score double, component_id string")
     got = sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard.join(df).collect())
