@@ -410,6 +410,25 @@ def test_lm_context_width():
     assert len(begin) > 10 and (first[1:] - begin[1:] >= 8).all() and (length[:-1] == 32).all()
 
 
+def test_lm_layout_and_weights_take_the_whole_corpus(spark, monkeypatch):
+    rows = odd_texts()
+    ids, _ = lm_attention.sample_streams(pa.array([t for _, t in rows]), path := lm_attention.vocabulary_path(lm_attention.VOCABULARY))
+    want, seen, layout = np.bincount(ids, minlength=50257), [], lm_attention.layout
+    monkeypatch.setattr(lm_attention, "SAMPLE", 2)
+    monkeypatch.setattr(lm_attention, "layout", lambda counts: seen.append(counts) or layout(counts))
+    lm_attention.score(frame(spark, rows), frame(spark, rows)).count()
+    assert (seen[0] == want).all()
+    shape = layout(want.astype(float))
+    start = lm_attention.fit_weights(shape, ids[:0], np.zeros(0, dtype=np.int64))
+    monkeypatch.setattr(lm_attention, "IDS_A_STEP", 1000)
+    steps = []
+    for times in (1, 3):
+        got = {(r.kind, r.key): r.n for r in lm_attention.corpus_pass(frame(spark, rows * times, 1), shape, start, path, "text").collect()}
+        steps.append(got[4, lm_attention.ROWS + 1])
+        assert sum(n for (k, _), n in got.items() if k == 2) == times * len(ids)
+    assert steps == [-(-len(ids) // 1000), -(-3 * len(ids) // 1000)]
+
+
 def test_lm_windows_score_each_id_once():
     sizes = np.array([1, 5, 24, 25, 44, 45, 200])
     row, begin, length, skip = lm_attention.windows(sizes)
