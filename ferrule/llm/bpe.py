@@ -7,11 +7,14 @@ positions is built once; merges are then replayed in rank order, and applying on
 only the positions of its pair and their neighbours.  A word that the worker has seen before
 keeps its ids (the memory is emptied at ``REMEMBER`` words; that changes no result).
 
-A merge that makes a pair of a lower rank than its own would be out of order for the words
-it touches; those words are redone alone, so ids are exact for any rank table.
+A merge may make a pair of a lower rank than its own.  Words in which that happens take one
+merge at a time, the leftmost, and meet the lower rank next; so ids are exact for any rank
+table and any word length.
 
 Null and empty texts have no ids and decode to no bytes.  Ids outside the vocabulary
-raise KeyError on decoding; a null id list decodes to null.
+raise KeyError on decoding; a null id list decodes to null.  Repeated rows get equal ids, an
+empty table gives no rows, and columns named like a result are replaced by it unless another
+name is asked for.
 """
 
 from __future__ import annotations
@@ -33,7 +36,10 @@ from pyspark.sql import types as T
 from . import text_arrays as ta
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-REMEMBER = 150_000
+#: Words and units that a worker remembers, by number and by bytes.
+REMEMBER, REMEMBER_BYTES = 150_000, 8 << 20
+#: Bytes of text whose new words are replayed together.
+SLICE = 2 << 20
 #: A blank beside another space; re's spaces hold all of the pattern's.
 UNEVEN = re.compile(r" \s|\s ")
 
@@ -72,6 +78,7 @@ class Numbered(dict):
 
     def clear(self) -> None:
         super().clear()
+        self.held = 0
         self.fresh: list = []
         self.flat = np.zeros(0, dtype=np.int32)
         self.starts = self.lens = np.zeros(0, dtype=np.int64)
@@ -81,8 +88,12 @@ class Numbered(dict):
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
         self.lens = np.concatenate((self.lens, lens))
         self.flat = np.concatenate((self.flat, flat))
+        self.held += sum(map(len, self.fresh))
         self.fresh = []
 
+    def full(self) -> bool:
+        return len(self) > REMEMBER or self.held > REMEMBER_BYTES
+
     def number(self, lists: list[list], learn) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all lists of keys, offsets of each list); ``learn`` fills in what is fresh."""
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
@@ -108,8 +119,8 @@ class Encoder:
         pairs = {
             ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         }
-        self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_values = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        self.pair_keys = np.array(sorted(pairs) or [-1], dtype=np.int64)
+        self.pair_values = np.array([pairs.get(k, -1) for k in self.pair_keys.tolist()], dtype=np.int64)
         self.pairs = pairs
         self.words, self.units = Numbered(), Numbered()
 
@@ -117,17 +128,6 @@ class Encoder:
         """Id that the pair merges to, which is its rank; -1 if none."""
         return self.pairs.get(a << 32 | b, -1)
 
-    def alone(self, word: bytes) -> tuple[int, ...]:
-        """One word by itself: the lowest-ranked, leftmost pair merges until none is left."""
-        ids = [self.single[b] for b in word]
-        while len(ids) > 1:
-            found = [(r, i) for i in range(len(ids) - 1) if (r := self.rank(ids[i], ids[i + 1])) >= 0]
-            if not found:
-                break
-            r, i = min(found)
-            ids[i : i + 2] = [r]
-        return tuple(ids)
-
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``rank`` for arrays of symbols; symbols below 0 pair with nothing."""
         key = (a.astype(np.int64) << 32) | b
@@ -173,15 +173,14 @@ class Encoder:
         some = np.flatnonzero(now >= 0)
         if len(some):
             note(some, now[some])
-        odd: list[np.ndarray] = []
         while heap:
             r = heapq.heappop(heap)
             held = index.pop(r)
-            at = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+            at = np.unique(np.concatenate(held) if len(held) > 1 else held[0])
             at = at[now[at] == r]  # others have lost a symbol to a neighbour meanwhile
             if not len(at):
                 continue
-            right = nxt[at]
+            right, every = nxt[at], at
             if len(at) > 1 and (right[:-1] == at[1:]).any():  # pairs that overlap: the leftmost first
                 keep, gone = [], -1
                 for k, (x, y) in enumerate(zip(at.tolist(), right.tolist())):
@@ -190,33 +189,37 @@ class Encoder:
                         gone = y
                 at, right = at[keep], right[keep]
             after, before = nxt[right], prv[at]
-            touching = at[1:][after[:-1] == at[1:]]
-            if len(touching):  # one after another, the left one would have met the right one's first symbol
-                met = self.pair_ranks(np.full(len(touching), r), ids[touching])
-                if ((met >= 0) & (met <= r)).any():
-                    odd.append(touching[(met >= 0) & (met <= r)])
+            mine = np.full(len(at), r)
+            later, earlier = self.pair_ranks(mine, ids[after]), self.pair_ranks(ids[before], mine)
+            early = ((later >= 0) & (later <= r)) | ((earlier >= 0) & (earlier <= r))
+            touch = after[:-1] == at[1:]
+            touching = touch.any()
+            if touching and 0 <= self.rank(r, r) <= r:
+                early[:-1] |= touch
+            if early.any():
+                word = np.searchsorted(first, at, side="right")
+                wait = np.isin(word, word[early])
+                wait[1:] &= word[1:] == word[:-1]
+                wait[0] = False
+                if wait.any():
+                    word_of = np.searchsorted(first, every, side="right")
+                    again = np.isin(word_of, word[wait])
+                    note(every[again], np.full(int(again.sum()), r))  # with those that overlapped one that waits
+                    at, right, after, before, later, earlier = (x[~wait] for x in (at, right, after, before, later, earlier))
             ids[at], ids[right], now[right] = r, -2, -1
             nxt[at] = after
             prv[after] = at
-            later = self.pair_ranks(ids[at], ids[after])
+            if touching:  # neighbours have merged too
+                later, earlier = self.pair_ranks(ids[at], ids[after]), self.pair_ranks(ids[before], ids[at])
             now[at] = later
-            earlier = self.pair_ranks(ids[before], ids[at])
             now[before] = earlier
             spots, ranks = np.concatenate((at, before)), np.concatenate((later, earlier))
             made = ranks >= 0
             if made.any():
-                spots, ranks = spots[made], ranks[made]
-                if ranks.min() <= r:
-                    odd.append(spots[ranks <= r])
-                note(spots, ranks)
+                note(spots[made], ranks[made])
         kept = np.concatenate(([0], np.cumsum(ids >= 0)))
         lens = np.diff(kept[np.append(first, n)]) if len(first) else np.zeros(0, dtype=np.int64)
         flat = ids[ids >= 0].astype(np.int32)
-        if odd:
-            lists = np.split(flat, np.cumsum(lens)[:-1])
-            for i in np.unique(np.searchsorted(first, np.concatenate(odd), side="right") - 1).tolist():
-                lists[i] = np.array(self.alone(words[i]), dtype=np.int32) if whole[i] < 0 else lists[i]
-            flat, lens = np.concatenate(lists), np.array([len(x) for x in lists])
         return flat, lens
 
     def learn_words(self) -> None:
@@ -231,14 +234,14 @@ class Encoder:
             return
         split = self.split.findall
         parts = [split(u[0]) if type(u) is tuple else split(" " + u) for u in fresh]
-        if len(self.words) > REMEMBER:
+        if self.words.full():
             self.words.clear()
         flat, offsets = self.words.number(parts, self.learn_words)
         self.units.fill(flat, np.diff(offsets))
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each); the new words of all of them are replayed together."""
-        if len(self.units) > REMEMBER:
+        if self.units.full():
             self.units.clear()
         gc.disable()  # no cycles are made here, and all the words would be walked again and again
         try:
@@ -262,17 +265,17 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder_for(path: str) -> Encoder:
-    """The worker's encoder for this vocabulary: tasks of one worker share the words it has seen."""
-    key = (path, pattern())
+def encoder_for(path: str | None) -> Encoder:
+    """The worker's encoder for this vocabulary (default: the public one, looked up in the worker): tasks of one
+    worker share the words it has seen."""
+    key = (path or vocabulary_path(), pattern())
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(load_ranks(path))
+        _ENCODERS[key] = Encoder(load_ranks(key[0]))
     return _ENCODERS[key]
 
 
 def encode(df: DataFrame, path: str | None = None, text_col: str = "text", name: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``: the ids of the whole text."""
-    path = path or vocabulary_path()
 
     def make():
         encoder = encoder_for(path)
@@ -283,7 +286,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", name:
 
         return run
 
-    return ta.map_texts(df, make, [(name, T.ArrayType(T.IntegerType()))], text_col, keep, factory=True)
+    return ta.map_texts(df, make, [(name, T.ArrayType(T.IntegerType()))], text_col, keep, factory=True, chunk=SLICE)
 
 
 class Decoder:
@@ -316,28 +319,26 @@ class Decoder:
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` with ``name``: the bytes that the ids stand for."""
-    path = path or vocabulary_path()
     ta.bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c.lower() != name.lower()]
     at = keep.index(ids_col)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.BinaryType())])
 
     def run(batches):
-        decoder = Decoder(load_ranks(path))
+        decoder = Decoder(load_ranks(path or vocabulary_path()))
         for batch in batches:
             for lo in range(0, max(batch.num_rows, 1), 200):
                 part = batch.slice(lo, 200)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoder(part.column(at))], names=[*keep, name])
 
-    return df.select(*[df[c] for c in keep]).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep]).mapInArrow(ta.released(run), schema)
 
 
-def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``ids`` and ``decoded``, the bytes decoded from those ids; both made by one worker."""
-    path = path or vocabulary_path()
+def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """``df`` with ids and the bytes decoded from those ids, in columns of these ``names``; both made by one worker."""
 
     def make():
-        encoder, decoder = encoder_for(path), Decoder(load_ranks(path))
+        encoder, decoder = encoder_for(path), Decoder(load_ranks(path or vocabulary_path()))
 
         def run(texts: pa.Array) -> list[pa.Array]:
             flat, offsets = encoder.encode_flat(texts.to_pylist())
@@ -346,7 +347,7 @@ def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", k
 
         return run
 
-    return ta.map_texts(df, make, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())], text_col, keep, factory=True)
+    return ta.map_texts(df, make, [(names[0], T.ArrayType(T.IntegerType())), (names[1], T.BinaryType())], text_col, keep, factory=True, chunk=SLICE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ a chunk always holds whole texts, however long a single text is.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 from typing import Callable, Iterator, NamedTuple
 
@@ -32,25 +34,26 @@ NON_TERM[:128] = True
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     NON_TERM[_lo:_hi] = False
 
-CHUNK_BYTES = 1 << 21
-BATCH_ROWS = 1000
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 4000
+BATCH_BYTES = 4 << 20
+#: Words are hashed in blocks of so many bytes, so a long text needs no arrays of eight bytes a byte.
+BLOCK = 1 << 18
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown when a longer buffer comes."""
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(BLOCK + 1, base, dtype=U64)
+    powers[0] = 1
+    return np.cumprod(powers, dtype=U64)
 
-    up = np.ones(1, dtype=U64)
-    down = np.ones(1, dtype=U64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = max(n + 1, 1 << 16)
-            for name, base in (("up", _P), ("down", _P_INV)):
-                powers = np.full(size, base, dtype=U64)
-                powers[0] = 1
-                setattr(cls, name, np.cumprod(powers, dtype=U64))
-        return cls.up, cls.down
+#: Powers of the hash base and of its inverse.
+_UP, _DOWN = _powers(_P), _powers(_P_INV)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, n at most BLOCK + 1."""
+    return _UP[:n], _DOWN[:n]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -67,7 +70,6 @@ def factor(j: int) -> np.uint64:
 
 class Words(NamedTuple):
     data: np.ndarray  # folded bytes of the chunk
-    sums: np.ndarray  # running polynomial sums, one more than bytes
     starts: np.ndarray
     ends: np.ndarray
     doc: np.ndarray  # row of each word
@@ -91,17 +93,43 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; equal bytes have equal hashes wherever they stand."""
-    down = _Powers.upto(len(sums))[1]
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+def weighed(data: np.ndarray) -> np.uint64:
+    """Polynomial sum of a run of bytes of any length."""
+    total = U64(0)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), BLOCK):
+            part = (data[at : at + BLOCK].astype(U64) + U64(1)) * _UP[: min(BLOCK, len(data) - at)]
+            total += part.sum(dtype=U64) * U64(pow(_P, at, 1 << 64))
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte span, starts ascending; equal bytes have equal hashes wherever they stand."""
+    out = np.zeros(len(starts), dtype=U64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + BLOCK, side="left")))
+        block = slice(at, to)
+        top = int(ends[block].max())
+        if top - base > BLOCK:  # the spans that reach beyond the block go alone
+            for i in np.flatnonzero(ends[block] > base + BLOCK) + at:
+                out[i] = weighed(data[starts[i] : ends[i]])
+        sums = np.zeros(min(top - base, BLOCK) + 1, dtype=U64)
+        np.cumsum((data[base : base + len(sums) - 1].astype(U64) + U64(1)) * _UP[: len(sums) - 1], out=sums[1:])
+        inside = np.flatnonzero(ends[block] <= base + BLOCK) + at
+        lo = starts[inside] - base
+        out[inside] = (sums[ends[inside] - base] - sums[lo]) * _DOWN[lo]
+        at = to
+    return mix64(out)
 
 
-def running_sums(data: np.ndarray) -> np.ndarray:
-    up = _Powers.upto(len(data))[0]
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return sums
+def head_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each start on, in any order; the same that ``span_hashes`` gives."""
+    acc = np.zeros(len(starts), dtype=U64)
+    for j in range(size):
+        acc += (data[starts + j].astype(U64) + U64(1)) * _UP[j]
+    return mix64(acc)
 
 
 def words_of(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = True) -> Words:
@@ -119,8 +147,7 @@ def words_of(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = True)
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(closes) + 1
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    sums = running_sums(data)
-    return Words(data, sums, starts, ends, doc, np.bincount(doc, minlength=rows), span_hashes(sums, starts, ends))
+    return Words(data, starts, ends, doc, np.bincount(doc, minlength=rows), span_hashes(data, starts, ends))
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +200,36 @@ def chunked(batch: pa.RecordBatch, text_col: str, limit: int = CHUNK_BYTES) -> I
         at = to
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch brings into a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes that one Arrow batch brings into a Python worker.
+
+    The settings are read when a plan runs, so they stay in the session; they are only ever lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give free memory back: workers are used again by stages with other needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with memory given back when its task ends."""
+
+    def made(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return made
 
 
 def map_texts(
@@ -185,6 +239,7 @@ def map_texts(
     text_col: str = "text",
     keep: list[str] | None = None,
     factory: bool = False,
+    chunk: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``df``'s columns ``keep`` (default: all) plus ``fields`` computed from whole texts.
 
@@ -205,29 +260,51 @@ def map_texts(
     def run(batches):
         call = fn() if factory else fn
         for batch in batches:
-            for part in chunked(batch, hidden):
+            for part in chunked(batch, hidden, chunk):
                 made = call(part.column(hidden))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (local tests) a folder of the machine is chosen.
+    Only a local session without the setting uses a folder of the machine; a cluster without it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/ferrule"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Cuts(df.sparkSession).put(df, name)
+
+
+class Cuts:
+    """Tables of one run in the shared folder; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self.held.append(out)  # so that its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(column, mod: int):

@@ -5,7 +5,10 @@ the leftmost first.  Each merge takes one symbol away, so a word has as many tok
 initial symbols less merges.  Words come from the vocabulary's pattern; special strings of
 the vocabulary inside a text are one token each, as its library has it by default.
 
-Null and empty texts have no tokens and no bytes.
+Null and empty texts have no tokens and no bytes.  Repeated rows get equal counts, an empty
+table gives no rows, and a column named like the result is replaced by it unless another
+name is asked for.  A worker remembers the counts of words (bounded by number and bytes;
+forgetting them changes no result).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from . import text_arrays as ta
 from .bpe import pattern, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBER = 1_000_000
+REMEMBER, REMEMBER_BYTES = 500_000, 16 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,6 +57,7 @@ class Counting:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(split or pattern())
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def word(self, text: str) -> int:
         """Initial symbols less merges."""
@@ -93,6 +97,9 @@ class Counting:
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each whole text."""
         known, out = self.known, []
+        if len(known) > REMEMBER or self.held > REMEMBER_BYTES:
+            known.clear()
+            self.held = 0
         for text in texts:
             total = 0
             for part in self.parts(text or ""):
@@ -105,9 +112,8 @@ class Counting:
                 except KeyError:
                     for w in set(words).difference(known):
                         known[w] = self.word(w)
+                        self.held += len(w)
                     total += sum(map(known.__getitem__, words))
-            if len(known) > REMEMBER:
-                known.clear()
             out.append(total)
         return out
 
@@ -122,21 +128,29 @@ class Counting:
 _COUNTING: dict[str, Counting] = {}
 
 
-def counting_for(path: str) -> Counting:
-    """The worker's counter for this vocabulary: tasks of one worker share the words it has seen."""
+def counting_for(path: str | None) -> Counting:
+    """The worker's counter for this vocabulary (default: the public one, looked up in the worker): tasks of one
+    worker share the words it has seen."""
+    path = path or vocabulary_path(VOCABULARY)
     if path not in _COUNTING:
-        gc.disable()  # no cycles are made here, and millions of words would be walked again and again
         _COUNTING[path] = Counting(path)
     return _COUNTING[path]
 
 
 def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text", name: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``name``: the tokens of the whole text."""
-    path = path or vocabulary_path(VOCABULARY)
 
     def make():
         counting = counting_for(path)
-        return lambda texts: [pa.array(counting.counts(texts.to_pylist()), pa.int64())]
+
+        def run(texts: pa.Array) -> list[pa.Array]:
+            gc.disable()  # no cycles are made here, and all the words would be walked again and again
+            try:
+                return [pa.array(counting.counts(texts.to_pylist()), pa.int64())]
+            finally:
+                gc.enable()
+
+        return run
 
     return ta.map_texts(df, make, [(name, T.LongType())], text_col, keep, factory=True)
 
