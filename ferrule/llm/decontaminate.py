@@ -9,13 +9,16 @@ as it occurs; a leak is a window of at least ``THRESHOLD``.
 Windows without any shingle of an item have similarity 0 and are passed over before they
 get a fingerprint; that loses nothing.  The others get a 64-bit SimHash over their weighted
 shingles.  Fingerprints are looked up in a multi-index of ``BLOCKS`` blocks: if two differ
-in at most ``RADIUS`` bits, some block differs in at most RADIUS / BLOCKS, so trying every
-block value within that distance finds all fingerprints within the radius.  The radius is
-3.6 standard deviations beyond what a window at the threshold differs in.  Candidates are
-then verified by the exact similarity.
+in at most ``RADIUS`` bits, some block differs in at most RADIUS / BLOCKS, so each block's
+buckets list an item under every value within that distance, and the buckets of a window's
+blocks hold all items within the radius.  The radius is 3.6 standard deviations beyond what a
+window at the threshold differs in; the README has the leaks counted without a radius.
+Candidates are then verified by the exact similarity.
 
 Items are broadcast in blocks of at most about ``ITEMS`` items, whatever their number.  A null or empty
-text or item leaks nothing.  Repeated rows of either table give repeated results.
+text or item leaks nothing.  Repeated rows of either table give repeated results; of windows
+that tie, the first counts.  An empty table on either side gives no rows, and further columns of
+either table don't matter.
 """
 
 from __future__ import annotations
@@ -96,23 +99,30 @@ class Items:
         self.owners = [sorted(of[int(x)]) for x in self.keys]
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[self.keys >> U64(42)] = True
-        near = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
-        self.by_length = {}
+        near = [np.flatnonzero(POPCOUNT[np.arange(256) ^ v] <= RADIUS // BLOCKS) for v in range(256)]
+        # for each length and block: the items of each value's bucket, one bucket after the other, and where each begins
+        self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n in np.unique(self.size[self.size >= K]):
             at = np.flatnonzero(self.size == n)
-            # for each block and value, which of the items may be within the radius
-            self.by_length[int(n)] = (at, np.stack([near[:, prints[at, b]] for b in range(BLOCKS)]))
+            index = []
+            for b in range(BLOCKS):
+                values = [near[v] for v in prints[at, b]]
+                value, item = np.concatenate(values), np.repeat(at, [len(v) for v in values])
+                order = np.argsort(value, kind="stable")
+                index.append((item[order], np.searchsorted(value[order], np.arange(257))))
+            self.buckets[int(n)] = index
 
     def candidates(self, n: int, prints: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) within the radius, through the multi-index."""
-        at, table = self.by_length[n]
-        maybe = np.zeros((len(prints), len(at)), dtype=bool)
-        for b in range(BLOCKS):
-            maybe |= table[b][prints[:, b]]
-        rows, cols = np.nonzero(maybe)
-        far = POPCOUNT[prints[rows] ^ self.prints[at[cols]]].sum(1, dtype=np.int32)
+        """(window, item) within the radius, by the buckets of the windows' blocks."""
+        found = []
+        for b, (items, first) in enumerate(self.buckets[n]):
+            lo, size = first[prints[:, b]], np.diff(first)[prints[:, b]]
+            at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+            found.append(np.repeat(np.arange(len(prints)), size) * len(self.ids) + items[at])
+        rows, cols = np.divmod(np.unique(np.concatenate(found)), len(self.ids))
+        far = POPCOUNT[prints[rows] ^ self.prints[cols]].sum(1, dtype=np.int32)
         ok = far <= RADIUS
-        return list(zip(rows[ok].tolist(), at[cols[ok]].tolist()))
+        return list(zip(rows[ok].tolist(), cols[ok].tolist()))
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         values, times = np.unique(window, return_counts=True)
@@ -176,20 +186,22 @@ FIELDS = [("start_word", T.IntegerType()), ("end_word", T.IntegerType()), ("simi
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item that it leaks: id, item_id, word span and similarity."""
     ta.bounded_batches(df.sparkSession)
-    blocks = max(1, -(-benchmark.count() // ITEMS))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    known = benchmark.where("text is not null").groupBy("item_id", F.col("text").cast("string").alias("text")).agg(F.count("*").alias("times"))
+    blocks = max(1, -(-known.count() // ITEMS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     source = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     schema = T.StructType([source.schema["doc_id"], benchmark.schema["item_id"], *[T.StructField(n, t) for n, t in FIELDS]])
     found = None
     for b in range(blocks):
-        got = benchmark.where(block == b).select("item_id", F.col("text").cast("string").alias("text")).toArrow()
-        ids, texts = got.column(0), got.column(1).to_pylist()
+        got = known.where(block == b).orderBy("item_id", "text").toArrow()  # about ITEMS items
+        shared = df.sparkSession.sparkContext.broadcast((got.column(0).combine_chunks(), got.column(1).to_pylist(), got.column(2).to_pylist()))
 
-        def run(batches, ids=ids.combine_chunks(), texts=texts):
+        def run(batches, shared=shared):
+            ids, texts, times = shared.value
             items = Items(list(range(len(texts))), texts)
             for batch in batches:
                 for part in ta.chunked(batch, "text"):
-                    rows = items.leaks(part.column("text"))
+                    rows = [row for row in items.leaks(part.column("text")) for _ in range(times[row[1]])]
                     if rows:
                         r, i, s, e, same = (np.array(x) for x in zip(*rows))
                         yield pa.RecordBatch.from_arrays(
@@ -197,7 +209,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                             names=schema.names,
                         )
 
-        made = source.mapInArrow(run, schema)
+        made = source.mapInArrow(ta.released(run), schema)
         found = made if found is None else found.unionByName(made)
     return found
 
