@@ -1,48 +1,84 @@
 """Sharding by longest processing time.
 
-Groups of equal texts stay together.  The groups that weigh in the balance, those of at
-least 1 / ``GRAIN`` of a shard's fair load, are scheduled one by one; all the others are
-first dealt by their text's digest into ``BUNDLES`` bundles, each of them one item of the
-schedule.  Items, sorted by size, go to the least-loaded shard through a heap.  At most
-``shards * GRAIN + BUNDLES`` items ever reach the driver, whatever the input.
+Groups of equal texts stay together.  All groups, sorted by size, go to the least-loaded
+shard through a heap.  Groups of one size are interchangeable, so the schedule is made of
+(size, number of groups) classes: it says how many groups of a class each shard takes, exactly
+as taking them one by one would, and the groups of the class are dealt out by their rank in
+it.  Distinct sizes add up to the input's bytes at most, so there are at most the root of
+twice those bytes; nothing else about groups reaches the driver.
 
 A group larger than a fair load can't be split by this law; its shard is then the largest.
-Slots are gapless in each shard: rows are dealt by a hash of the id into ``LANES`` lanes
-a shard, and a lane starts where the ones before it end, so a hot group spreads over all
-lanes.  Null texts count as empty ones.  Repeated rows get slots of their own; no rows
-give no rows.
+Ranks and slots are gapless: rows are dealt by a hash into ``LANES`` lanes, and a lane starts
+where the ones before it end, so a hot size, group or shard spreads over all lanes.  Null
+texts count as empty ones, null ids are ids of their own.  Repeated rows get slots of their
+own, ties go to the shard with the lower number, no rows give no rows, and further columns
+of the table don't matter.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 
 SHARDS = 40
-GRAIN = 64
-BUNDLES = 4096
 LANES = 128
 OVERHEAD = 16
 
 
-def longest_first(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Shard of each (size, name): the largest first, each to the least-loaded shard; ties by name and number."""
-    loads = [(0, s) for s in range(shards)]
-    out = {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, s = heapq.heappop(loads)
-        out[name] = s
-        heapq.heappush(loads, (load + size, s))
+def longest_first(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """(size, shard, first rank, rank after the last): the largest first, each to the least-loaded shard, ties by number.
+
+    ``classes`` are (size, number of groups).  Of a class with more groups than shards each shard
+    offers its loads after 0, 1, 2 .. groups; the smallest offers of all are the ones that a heap
+    would take, found by bisection.
+    """
+    loads, out = [0] * shards, []
+    heap = [(0, s) for s in range(shards)]
+    for size, n in sorted(classes, reverse=True):
+        taken: dict[int, int] = {}
+        if n > shards:
+            lo, hi = min(loads), max(loads) + size * n  # offers below lo: fewer than n
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if sum(max(0, (mid - x) // size + 1) for x in loads if mid >= x) >= n:
+                    hi = mid
+                else:
+                    lo = mid + 1
+            taken = {s: (lo - 1 - x) // size + 1 for s, x in enumerate(loads) if lo - 1 >= x}
+            left = n - sum(taken.values())
+            for s in [s for s, x in enumerate(loads) if lo >= x and (lo - x) % size == 0][:left]:
+                taken[s] = taken.get(s, 0) + 1
+            for s, k in taken.items():
+                loads[s] += k * size
+            heap = [(x, s) for s, x in enumerate(loads)]
+            heapq.heapify(heap)
+        else:
+            for _ in range(n):
+                load, s = heap[0]
+                heapq.heapreplace(heap, (load + size, s))
+                loads[s] += size
+                taken[s] = taken.get(s, 0) + 1
+        at = 0
+        for s in sorted(taken):
+            out.append((size, s, at, at + taken[s]))
+            at += taken[s]
     return out
 
 
-def bundle_of(digest: Column, bundles: int) -> Column:
-    return F.concat(F.lit("b"), F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(bundles)).cast("string"))
+def gapless(df: DataFrame, key: str, lane_of: list, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: numbers from 0 inside each ``key``, without one task seeing all of a key."""
+    laned = df.withColumn("__lane", F.pmod(F.xxhash64(*lane_of), F.lit(LANES)).cast("int"))
+    counts = laned.groupBy(key, "__lane").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(key).orderBy("__lane").rowsBetween(W.unboundedPreceding, -1))  # LANES rows a key
+    starts = counts.select(key, "__lane", F.coalesce(before, F.lit(0)).alias("__start"))
+    rank = F.row_number().over(W.partitionBy(key, "__lane").orderBy(*order)) - 1
+    return laned.withColumn("__rank", rank).join(starts, [key, "__lane"]).withColumn(name, (F.col("__rank") + F.col("__start")).cast("long")).drop("__lane", "__rank", "__start")
 
 
 def assign(df: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -53,32 +89,18 @@ def assign(df: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col:
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest")
     )
     rows = ta.cut(rows, "sizes")  # a few dozen bytes a row: the texts are read once
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = groups.where(F.col("size") * (shards * GRAIN) >= max(1, total)) if total else groups.where("false")
-    own = [(r["size"], r["digest"]) for r in large.collect()]  # at most shards * GRAIN
-    alone = spark.createDataFrame([(d,) for _, d in own] or [("",)], "digest string").where("digest <> ''")
-    item = F.when(F.col("own").isNotNull(), F.col("digest")).otherwise(bundle_of(F.col("digest"), BUNDLES))
-    marked = rows.join(F.broadcast(alone.select("digest", F.lit(True).alias("own"))), "digest", "left").withColumn("item", item)
-    bundles = marked.where(F.col("own").isNull()).groupBy("item").agg(F.sum("size").alias("size"))
-    items = own + [(r["size"], r["item"]) for r in bundles.collect()]  # at most BUNDLES more
-    plan = longest_first(items, shards)
-    where = spark.createDataFrame(list(plan.items()) or [("", 0)], "item string, shard int")
-    lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int")
-    placed = marked.join(F.broadcast(where), "item").select("doc_id", "size", "text_crc32", "shard", lane.alias("lane"))
-    counts = placed.groupBy("shard", "lane").count().collect()  # shards * LANES at most
-    at, starts, last = 0, [], None
-    for r in sorted(counts, key=lambda r: (r["shard"], r["lane"])):
-        at = 0 if r["shard"] != last else at
-        starts.append((r["shard"], r["lane"], at))
-        at, last = at + r["count"], r["shard"]
-    first = spark.createDataFrame(starts or [(-1, -1, 0)], "shard int, lane int, start long")
-    order = W.partitionBy("shard", "lane").orderBy("doc_id", "size", "text_crc32")
-    return (
-        placed.join(F.broadcast(first), ["shard", "lane"])
-        .withColumn("slot", (F.row_number().over(order) - 1).cast("long") + F.col("start"))
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-    )
+    groups = gapless(rows.groupBy("digest").agg(F.sum("size").alias("load")), "load", ["digest"], ["digest"], "rank")
+    groups = ta.cut(groups, "groups")
+    classes = groups.groupBy("load").agg(F.count("*").alias("n")).toArrow()  # one row for each distinct load
+    plan = longest_first(list(zip(classes.column(0).to_pylist(), classes.column(1).to_pylist())), shards)
+    where = spark.createDataFrame(pa.table([pa.array([p[i] for p in plan], pa.int64()) for i in range(4)], names=["load", "shard", "lo", "hi"]))
+    # a class of more than 40 groups has 40 ranges at most
+    ranges = where.groupBy("load").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard"))).alias("ranges"))
+    mine = F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))
+    homes = groups.join(ranges, "load").select("digest", mine[0]["shard"].cast("int").alias("shard"))
+    placed = ta.cut(rows.join(homes, "digest").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    out = gapless(placed, "shard", ["doc_id"], ["doc_id", "size", "text_crc32"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
