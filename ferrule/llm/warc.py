@@ -10,8 +10,12 @@ Files stand in the shared folder.  A task names its files by a fresh token and o
 manifest of tasks that ended well is read, so a task that is run again leaves no double.
 
 Payloads: the html in UTF-8, a null is empty.  Of equal payloads of at least ``min_bytes``
-the smallest page_id is the response and the others revisit it; rows that repeat that
-page_id are responses too.  A null url becomes the record's own urn.  No pages give no rows.
+the smallest page_id is the response and the others revisit it (a null page_id is larger than
+all); rows that repeat that page_id are responses too.  A null url becomes the record's own
+urn.  No pages give no rows, and further columns of the table don't matter.
+
+Who revisits whom is found over ids and digests alone; payloads meet that by page_id and
+digest together, so the rows of a common page are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -48,12 +52,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, kind: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, kind: str) -> bytes:
     """One WARC record; a revisit has the headers of its payload only."""
     name = f"<urn:page:{page_id}>"
     uri = " ".join((url or f"urn:page:{page_id}").split())
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http + (payload if kind == "response" else b"")
+    block = http + (payload or b"")
     lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}"]
     if kind == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -103,28 +107,24 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def identify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = (
-        rows.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return rows.join(first, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first_id")).alias("refers_to"),
+    small = ta.cut(rows.where(F.col("payload_bytes") >= min_bytes).select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest")), "digests")
+    first = small.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = small.distinct().join(first, "digest").where("first_id is not null and not (first_id <=> id)")
+    same = (F.col("digest") == F.col("payload_digest")) & F.col("id").eqNullSafe(F.col("page_id"))
+    known = F.col("first_id").isNotNull()
+    return rows.join(again, same, "left").select(
+        "page_id", "url", F.when(~known, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
+        F.when(known, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"),
     )
 
 
 def write_archives(identified: DataFrame, folder: str) -> DataFrame:
     """A record a row, in monolithic gzip archives; returns the manifest (path, n_records)."""
-    ta.bounded_batches(identified.sparkSession, 500)
+    ta.bounded_batches(identified.sparkSession)
 
     def run(batches):
         files, path = filesystem(folder)
@@ -151,7 +151,7 @@ def write_archives(identified: DataFrame, folder: str) -> DataFrame:
             done.append((name, n))
         yield pa.RecordBatch.from_pydict({"path": pa.array([x for x, _ in done], pa.string()), "n_records": pa.array([x for _, x in done], pa.int64())})
 
-    return ta.cut(identified.mapInArrow(run, "path string, n_records long"), "archives")
+    return ta.cut(identified.mapInArrow(ta.released(run), "path string, n_records long"), "archives")
 
 
 def spread(manifest: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                 made = {"path": [f"{name}.members.warc.gz"], "index_path": [f"{name}.index.tsv"], "n_records": [n]}
                 yield pa.RecordBatch.from_pydict(made, schema=pa.schema([("path", pa.string()), ("index_path", pa.string()), ("n_records", pa.int64())]))
 
-    return ta.cut(spread(manifest).mapInArrow(run, "path string, index_path string, n_records long"), "members")
+    return ta.cut(spread(manifest).mapInArrow(ta.released(run), "path string, index_path string, n_records long"), "members")
 
 
 def page_number(urn: str | None) -> int | None:
@@ -231,7 +231,7 @@ def read_archives(members: DataFrame, folder: str, payloads: bool = True) -> Dat
                     yield pa.RecordBatch.from_pylist([{k: r[k] for k, _ in kinds} for r in rows], schema=schema)
 
     types = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
-    return spread(members).mapInArrow(run, types)
+    return spread(members).mapInArrow(ta.released(run), types)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,3 +239,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(identify(ta.table(spark, sf_dir, "pages")), folder)
     members = normalise(manifest, folder)
     return read_archives(members, folder, payloads=False).drop("url")
+
+
+ORACLE = f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select page_id, strlen(html) as payload_bytes, sha1(html) as hex from p),
+d as (select page_id, payload_bytes, hex,
+    array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', 1 + (((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint) >> (5 * (7 - i % 8))::int) & 31)::int, 1)), '') as payload_digest from s),
+f as (select hex, min(page_id) as first_id from d group by hex)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when first_id is distinct from page_id and first_id is not null then 'revisit' else 'response' end as record_type,
+  case when first_id is distinct from page_id then first_id end as refers_to
+from d join f using (hex)
+"""
