@@ -1,15 +1,18 @@
 """Quality rules, line first; DataFrame functions only.
 
-Each line of the whole text is tried by the punctuation, navigation and boilerplate rules;
-failing lines are removed, and a document that loses more than ``MAX_LOST`` of its
-characters is rejected.  Base measures of the whole text are reported beside the verdict.
+Each line of the whole text is tried by the punctuation rule (it ends in a mark that ends a
+sentence, it has a letter, and symbols are few), the navigation rule and the boilerplate rule,
+both in four languages; failing lines are removed, and a document that loses more than
+``MAX_LOST`` of its characters is rejected.  Base measures of the whole text are reported
+beside the verdict.
 
 All measures are computed inside the row (arrays, no shuffle), so a hot source or a group
 of copies costs no more than other rows.  Repeated three-word windows are found by sorting
 (hash, position) pairs, which takes n log n steps for a text of n words.
 
 A null text has no words, no lines and an empty cleaned text; it fails the base rules, as
-any text of under 50 words does.  Repeated rows get equal verdicts.
+any text of under 50 words does.  Repeated rows get equal verdicts, an empty table gives no
+rows, and columns named like a measure are replaced by it.
 """
 
 from __future__ import annotations
@@ -29,14 +32,24 @@ MIN_WORDS = 50
 MAX_LOST = 0.5
 #: Share of symbols in a line's characters above which the line fails.
 MAX_SYMBOLS = 0.1
-#: Fixed phrases of boilerplate lines, lower case.
+#: Marks that end a sentence, and what may follow them.
+ENDS, CLOSING = ".!?…", "\"'”’»)]"
+#: Fixed phrases of boilerplate lines, lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service",
     "enable javascript", "licensed under", "click here", "subscribe to our", "sign up for our", "powered by",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "abonnez-vous à",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "condiciones de uso", "haga clic aquí", "suscríbete a",
 )
-#: A navigation line: two or more separators, or nothing but such a word or two (so a short line).
-NAVIGATION = r"(?i)^[ \t\r]*(?:home|menu|login|log in|sign in|sign up|search|contact(?: us)?|about(?: us)?|next|previous|back to top|skip to content|share|tweet)[ \t\r]*$"
-NAVIGATION_SIZE = 40
+#: A navigation line: two or more separators, or nothing but such words.
+MENU = (
+    "home|menu|login|log in|sign in|sign up|search|contact(?: us)?|about(?: us)?|next|previous|back to top|skip to content|share|tweet"
+    "|startseite|men[üÜ]|anmelden|suche|kontakt|[üÜ]ber uns|weiter|zur[üÜ]ck|nach oben|teilen"
+    "|accueil|connexion|rechercher|contactez-nous|[àÀ] propos|suivant|pr[éÉ]c[éÉ]dent|haut de page|partager"
+    "|inicio|men[úÚ]|iniciar sesi[óÓ]n|buscar|contacto|sobre nosotros|siguiente|anterior|volver arriba|compartir"
+)
+NAVIGATION = rf"(?i)^[ \t\r]*(?:{MENU})[ \t\r]*$"
 SEPARATORS = "|»"
 LETTER = r"\p{L}"
 
@@ -57,9 +70,15 @@ def has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES)) != ""
 
 
-def letterless_or_menu(line: Column) -> Column:
-    """The rules that any line may fail: no letter, or nothing but a navigation word or two."""
-    return ~line.rlike(LETTER) | ((F.length(line) <= NAVIGATION_SIZE) & line.rlike(NAVIGATION))
+def unended(line: Column) -> Column:
+    """No mark at the end, after closing quotes and brackets."""
+    bare = F.rtrim(line, F.lit(SPACES + CLOSING))
+    return ~reduce(or_, [bare.endswith(mark) for mark in ENDS])
+
+
+def plain_fails(line: Column) -> Column:
+    """The rules that any line may fail: no end mark, no letter, or nothing but navigation words (which have no mark)."""
+    return unended(line) | ~line.rlike(LETTER)
 
 
 def line_fails(line: Column) -> Column:
@@ -67,7 +86,7 @@ def line_fails(line: Column) -> Column:
     size = F.length(line)
     symbols = size - F.length(F.translate(line, SYMBOLS, ""))
     separators = size - F.length(F.translate(line, SEPARATORS, ""))
-    return has_word(line) & (letterless_or_menu(line) | (symbols > size * F.lit(MAX_SYMBOLS)) | (separators >= 2) | boilerplate(line))
+    return has_word(line) & (plain_fails(line) | line.rlike(NAVIGATION) | (symbols > size * F.lit(MAX_SYMBOLS)) | (separators >= 2) | boilerplate(line))
 
 
 def boilerplate(text: Column) -> Column:
@@ -76,9 +95,10 @@ def boilerplate(text: Column) -> Column:
 
 
 def good_lines(text: Column, lines: Column) -> Column:
-    """Lines that pass.  A text without any symbol, separator or phrase can fail by the other rules only."""
+    """Lines that pass.  Lines of a text without any symbol, separator or phrase can fail by the other rules only; navigation
+    words stand without an end mark, so they fail by that already."""
     some = reduce(or_, [text.contains(c) for c in SYMBOLS + SEPARATORS]) | boilerplate(text)
-    return F.when(some, F.filter(lines, lambda x: ~line_fails(x))).otherwise(F.filter(lines, lambda x: ~(has_word(x) & letterless_or_menu(x))))
+    return F.when(some, F.filter(lines, lambda x: ~line_fails(x))).otherwise(F.filter(lines, lambda x: ~(has_word(x) & plain_fails(x))))
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,9 +175,10 @@ l as (select row, string_split(text, chr(10)) as lines from t),
 q as (select row, list_filter(lines, lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) as worded,
         list_filter(lines, lambda x: not (regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]') and (
           length(x) - length(translate(x, '{SYMBOLS}', '')) > length(x) * {MAX_SYMBOLS}
-          or not regexp_matches(x, '\\p{{L}}') or length(x) <= {NAVIGATION_SIZE} and regexp_matches(x, '{NAVIGATION}')
+          or right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '{CLOSING.replace("'", "''")}'), 1) not in ('{"', '".join(ENDS)}')
+          or not regexp_matches(x, '\\p{{L}}') or regexp_matches(x, '{NAVIGATION}')
           or length(x) - length(translate(x, '{SEPARATORS}', '')) >= 2
-          or {" or ".join(f"contains(lower(x), '{phrase}')" for phrase in BOILERPLATE)}))) as good from l),
+          or {" or ".join(f"contains(lower(x), '{phrase.replace(chr(39), chr(39) * 2)}')" for phrase in BOILERPLATE)}))) as good from l),
 b as (select t.doc_id, len(ws) as n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as word_chars,
         length(text) - length(translate(text, '{SYMBOLS}', '')) as n_symbols, len(worded) - len(list_distinct(worded)) as n_dup_lines,
         coalesce(r.n, 0) as n_repeat_words,

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_jaccard.ORACLE, "op8_quality_rules": quality.ORACLE}
+    return {"op1_ngram_jaccard": ngram_jaccard.ORACLE, "op7_warc": warc.ORACLE, "op8_quality_rules": quality.ORACLE}
