@@ -5,8 +5,8 @@ one; none without words).  Two documents link when 100 * intersection >= 80 * un
 
 1. Documents with equal sets become one class; only its representative goes on.
 2. Representatives with the same minimum hash and about the same size form a group; a
-   group that would grow beyond ``GROUP`` is split by a hash of the id (its load is counted
-   first, so one hot family never meets in one task).
+   group that would grow beyond ``GROUP`` members or ``TOKENS`` tokens is split by a hash of
+   the class (its load is counted first, so one hot family never meets in one task).
 3. The matrix: each group stores the union of its members' tokens, first of the prefix
    tokens alone.  A set's prefix is its n - ceil(0.8 n) + e(n) rarest tokens, where
    e(n) = 1 + n // ``EXTRA``; sets that link share at least e(smaller n) of them, so group
@@ -19,9 +19,16 @@ one; none without words).  Two documents link when 100 * intersection >= 80 * un
    query are opened, and one matrix product gives all exact overlaps.
 5. Links give a forest of edges, never all pairs; components come from contracting it.
 
+Links are counted, so groups of one family of near copies are compared with each other, a
+matrix product for each two of them; with groups of GROUP members that is a share of
+1 / GROUP^2 of the pairs of documents.  The pairs of groups are dealt out by both groups, and a
+token that very many groups hold is a skewed join key that Spark may split.
+
 Tokens are 64-bit hashes of shingles.  Documents without words have component_id = their
-own id and no links.  Rows that repeat an id and text are one class; each gets its row.
-An empty table gives no rows.  Nothing about all documents is brought to the driver.
+own id and no links.  Rows that repeat an id and text are one class; each gets its row, and so
+does each text of an id that comes with several.  A row without an id links like any other;
+its component_id is null only where no id is in its component.  An empty table gives no rows;
+further columns don't matter.  Nothing about all documents is brought to the driver.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ from . import text_arrays as ta
 K = 5
 NUM, DEN = 80, 100
 EXTRA = 10
-GROUP = 128
+GROUP, TOKENS = 256, 1 << 17
 #: Bits of the map of wanted documents that goes to the scan; a full map passes more rows, loses none.
 MAP_BITS = 24
 CELL_BITS = 21
@@ -71,7 +78,7 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
         return rows.slice(0, 1).select(["slice", "part"]).append_column("cells", pa.array([out], pa.binary()))
 
     schema = "slice int, part int, cells binary"
-    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, schema)
+    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(ta.released(count), schema)
     sums = parts.groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
     out = np.zeros(CELLS, dtype=np.float64)
     for r in sums.collect():  # SLICES rows, CELLS counters in all
@@ -120,8 +127,14 @@ def summaries(docs: DataFrame, ranks: np.ndarray, text_col: str, id_col: str) ->
         return [pa.array(n.astype(np.int64)), *longs, lists]
 
     fields = [("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("family", T.LongType()), ("prefix", T.ArrayType(T.LongType()))]
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return ta.map_texts(source, made, fields, "text", ["doc_id"])
+    source = docs.select(docs[id_col].alias("doc_id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("text"))
+    return ta.map_texts(source, made, fields, "text", ["doc_id", "row", "text_hash"])
+
+
+def row_key(id_, text) -> list:
+    """(row, text_hash): what tells a row's text from all others, also where the id is null."""
+    hashed = F.xxhash64(text.cast("string"))
+    return [F.struct(id_.isNull().alias("anonymous"), F.coalesce(id_.cast("long"), hashed).alias("id")).alias("row"), hashed.alias("text_hash")]
 
 
 PAYLOAD = "gid long, cids array<long>, sizes array<long>, copies array<long>, tokens binary, bits binary"
@@ -139,27 +152,29 @@ def payload_row(gid: int, members: dict[int, tuple[np.ndarray, int]]) -> tuple:
 
 
 def only_wanted(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """Texts that may be wanted, by a bit map of fixed size over the ids: fewer rows to shuffle."""
-    slot = F.pmod(F.xxhash64("cid"), F.lit(1 << MAP_BITS))
+    """Texts that may be wanted, by a bit map of fixed size over the rows: fewer rows to shuffle."""
+    slot = F.pmod(F.xxhash64("row", "text_hash"), F.lit(1 << MAP_BITS))
     slots = needed.select(slot.alias("slot")).selectExpr("cast(slot div 64 as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b")
     rows = slots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)  # as many rows as words at most
     words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     bits = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-    packed = zlib.compress(np.packbits(bits).tobytes(), 1)
+    shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(bits).tobytes(), 1))
 
     def run(batches):
-        wanted = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        wanted = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).columns[:2], names=["cid", "text"])
+            slot = batch.column(3).to_numpy()
+            on = (wanted[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(on.astype(bool))).columns[:3], names=["row", "text_hash", "text"])
 
-    return texts.where("cid is not null").withColumn("slot", slot).mapInArrow(run, T.StructType(texts.schema.fields))
+    return texts.withColumn("slot", slot).mapInArrow(ta.released(run), T.StructType(texts.schema.fields))
 
 
 def payloads(needed: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """``needed``: gid, cid, copies, h1, h2.  A row for each group, built as its members stream by."""
-    texts = only_wanted(docs.select(docs[id_col].alias("cid"), docs[text_col].cast("string").alias("text")), needed)
-    rows = needed.join(texts, "cid").select("gid", "cid", "copies", "h1", "h2", "text")
+    """``needed``: gid, cid, copies, row, text_hash.  A row for each group, built as its members stream by."""
+    texts = only_wanted(docs.select(*row_key(docs[id_col], docs[text_col]), docs[text_col].cast("string").alias("text")), needed)
+    rows = needed.join(texts, ["row", "text_hash"]).select("gid", "cid", "copies", "text")
     schema = pa.schema([("gid", pa.int64()), ("cids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("tokens", pa.binary()), ("bits", pa.binary())])
 
     def build(batches):
@@ -173,25 +188,23 @@ def payloads(needed: DataFrame, docs: DataFrame, text_col: str, id_col: str) ->
                 rows, h = ta.shingle_sets(part.column("text"), K)
                 n = np.bincount(rows, minlength=part.num_rows)
                 first = np.cumsum(n) - n
-                sums = row_sums(ta.mix64(h), first, n).view(np.int64), row_sums(ta.mix64(h ^ LINK), first, n).view(np.int64)
-                gid, cid, copies, h1, h2 = (part.column(i).to_numpy() for i in range(5))
-                same = (sums[0] == h1) & (sums[1] == h2)  # an id may come with other texts too
-                for i in np.flatnonzero(same).tolist():
+                gid, cid, copies = (part.column(i).to_numpy() for i in range(3))
+                for i in range(part.num_rows):
                     if gid[i] != now:
                         if members:
                             out.append(payload_row(now, members))
                             held += len(out[-1][4]) + len(out[-1][5])
                         now, members = int(gid[i]), {}
-                    members[int(cid[i])] = (h[first[i] : first[i] + n[i]].copy(), int(copies[i]))
-            if held > ta.CHUNK_BYTES:
-                yield batch_of(out)
-                out, held = [], 0
+                    members[int(cid[i])] = (h[first[i] : first[i] + n[i]].copy(), int(copies[i]))  # again if the row repeats
+                    if held > ta.CHUNK_BYTES:
+                        yield batch_of(out)
+                        out, held = [], 0
         if members:
             out.append(payload_row(now, members))
         if out:
             yield batch_of(out)
 
-    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(build, PAYLOAD)
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(ta.released(build), PAYLOAD)
 
 
 def opened(a: dict, b: dict | None) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -265,88 +278,100 @@ def verified(pairs: DataFrame, groups: DataFrame) -> DataFrame:
                 links += [*more.values(), *[None] * len(edges)]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, links)], names=["a", "b", "links"])
 
-    return both.mapInArrow(run, "a long, b long, links long")
+    return both.mapInArrow(ta.released(run), "a long, b long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, component_id) of every vertex of ``edges`` (a, b): the smallest id it reaches.
+    """(cid, root) of every vertex of ``edges`` (a, b): the same root for all that reach each other.
 
     Each round hooks every vertex to its least neighbour, follows the hooks until they end at
     roots and contracts the edges; each step is written to the shared folder.  The first round
     compares ids, which settles stars and sorted chains; the others compare hashes that change
     with the round, so half of the vertices or more go on average and rounds are logarithmic.
     """
-    left = ta.cut(edges.select("a", "b").distinct(), "edges")
+    steps = ta.Cuts(edges.sparkSession)
+    left = steps.put(edges.select("a", "b").distinct(), "edges")
     labels, turn = None, 0
     while not left.isEmpty():  # a round removes one vertex at least from each part with an edge
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         own, other = (F.xxhash64(c, F.lit(turn)) if turn else F.col(c) for c in "ab")
         hook = ends.groupBy("a").agg(F.min_by("b", other).alias("b"), F.min(other).alias("least"))
-        hook = ta.cut(hook.select(F.col("a").alias("v"), F.when(F.col("least") < own, F.col("b")).otherwise(F.col("a")).alias("p")), "hooks")
+        hook = steps.put(hook.select(F.col("a").alias("v"), F.when(F.col("least") < own, F.col("b")).otherwise(F.col("a")).alias("p")), "hooks")
         moving = True
         while moving:  # the distance to the root halves with each hop
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = ta.cut(hook.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "hooks")
+            nearer = steps.put(hook.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "hooks")
+            steps.drop(hook)
+            hook = nearer
             moving = not hook.where("moved").isEmpty()
         moved = hook.select(F.col("v").alias("root"), F.col("p").alias("to"))
         if labels is None:
-            labels = hook.select(F.col("v").alias("cid"), F.col("p").alias("root"))
+            labels = steps.put(hook.select(F.col("v").alias("cid"), F.col("p").alias("root")), "labels")
         else:
-            labels = ta.cut(labels.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root")), "labels")
+            after = steps.put(labels.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root")), "labels")
+            steps.drop(labels)
+            labels = after
         a, b = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        left = left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        left = ta.cut(left, "edges")
+        fewer = left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        fewer = steps.put(fewer, "edges")
+        steps.drop(left, hook)
+        left = fewer
         turn += 1
-    if labels is None:
-        return edges.sparkSession.createDataFrame([], "cid long, component_id long")
-    if turn == 1:  # hooked by id alone: roots are the smallest ids
-        return labels.withColumnRenamed("root", "component_id")
-    least = labels.groupBy("root").agg(F.min("cid").alias("component_id"))
-    return labels.join(least, "root").select("cid", "component_id")
+    return labels if labels is not None else edges.sparkSession.createDataFrame([], "cid long, root long")
 
 
 def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (linked documents, copies included), class_id."""
-    ranks = rarity(df, text_col)
-    every = ta.cut(summaries(df, ranks, text_col, id_col), "summaries")
-    classes = every.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("family").alias("family"))
-    classes = ta.cut(classes, "classes")
-    hot = ta.cut(classes.groupBy("family").agg(F.count("*").alias("load")).where(F.col("load") > GROUP * 3 // 4), "hot")
-    lanes = F.ceil(F.coalesce("load", F.lit(1)) / F.lit(GROUP * 3 // 4))
-    placed = classes.join(hot, "family", "left").withColumn("gid", F.xxhash64("family", F.pmod(F.xxhash64("cid"), lanes)))
-    placed = ta.cut(placed.select("gid", "cid", "n", "copies", "h1", "h2"), "placed")
-    own = every.select(F.col("doc_id").alias("cid"), "n", "h1", "h2", "prefix").join(placed, ["cid", "n", "h1", "h2"])
+    """doc_id, n_shingles, component_id, n_links (linked documents, copies included), class_id, text_hash and keeper.
+
+    ``keeper`` marks the row (and rows equal to it) that stands for its component: the smallest id's.
+    """
+    steps = ta.Cuts(df.sparkSession)
+    every = steps.put(summaries(df, rarity(df, text_col), text_col, id_col), "summaries")
+    first = F.min(F.struct("row", "text_hash")).alias("first")
+    classes = every.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.count("*").alias("copies"), F.first("family").alias("family"), F.first("prefix").alias("prefix"))
+    classes = steps.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    loads = classes.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    lanes = F.ceil(F.greatest(F.col("members") / F.lit(GROUP * 3 // 4), F.col("tokens") / F.lit(TOKENS * 3 // 4)))
+    hot = steps.put(loads.withColumn("lanes", lanes).where("lanes > 1").select("family", "lanes"), "hot")
+    placed = classes.join(hot, "family", "left").withColumn("gid", F.xxhash64("family", F.pmod(F.xxhash64("cid"), F.coalesce("lanes", F.lit(1)))))
+    placed = steps.put(placed.select("gid", "cid", "n", "copies", "first", "prefix"), "placed")
     tokens = (
-        own.groupBy("gid")
+        placed.groupBy("gid")
         .agg(F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"))
         .select("gid", "least", "most", F.explode("tokens").alias("token"))
     )
-    spread = tokens.repartition("token")
-    a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "least", "most")]) for x in "ab")
+    a, b = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "least", "most")]) for x in "ab")
     near = (F.col("gid_a") < F.col("gid_b")) & (DEN * F.col("most_a") >= NUM * F.col("least_b")) & (DEN * F.col("most_b") >= NUM * F.col("least_a"))
-    met = a.join(b, "token").where(near).groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"))
+    met = a.hint("merge").join(b, "token").where(near).groupBy(F.col("gid_a").alias("ga"), F.col("gid_b").alias("gb"))
     shared = met.agg(F.count("*").alias("shared"), F.min(F.least("least_a", "least_b")).alias("least"))
-    pairs = ta.cut(shared.where(F.col("shared") >= 1 + F.floor(F.col("least") / EXTRA)).select("ga", "gb"), "pairs")
+    pairs = steps.put(shared.where(F.col("shared") >= 1 + F.floor(F.col("least") / EXTRA)).select("ga", "gb"), "pairs")
     many = placed.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid")
     wanted = pairs.select(F.col("ga").alias("gid")).unionByName(pairs.select(F.col("gb").alias("gid"))).unionByName(many).distinct()
-    needed = placed.select("gid", "cid", "copies", "h1", "h2").join(wanted, "gid")
-    groups = ta.cut(payloads(needed, df, text_col, id_col), "groups")
-    links = ta.cut(verified(pairs, groups), "links")
+    needed = placed.select("gid", "cid", "copies", "first.row", "first.text_hash").join(wanted, "gid")
+    groups = steps.put(payloads(needed, df, text_col, id_col), "groups")
+    links = steps.put(verified(pairs, groups), "links")
+    steps.drop(groups, pairs, placed, hot)
     joined = components(links.where(F.col("links").isNull()).select("a", "b"))
     degree = links.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("more"))
-    named = classes.select("h1", "h2", "n", "cid", "copies").join(joined, "cid", "left").join(degree, "cid", "left")
-    out = every.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    named = classes.join(joined, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least, "root").join(degree, "cid", "left").select("h1", "h2", "n", "first", "component", "copies", "more")
+    out = every.select("doc_id", "row", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    id_of = lambda c: F.when(~F.col(c)["row"]["anonymous"], F.col(c)["row"]["id"])
+    linked = F.col("first").isNotNull()
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "cid", "doc_id").alias("component_id"),
-        F.when(F.col("cid").isNull(), F.lit(0)).otherwise(F.coalesce("more", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("cid", "doc_id").alias("class_id"),
+        F.when(linked, id_of("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.coalesce("more", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(linked, id_of("first")).otherwise(F.col("doc_id")).alias("class_id"),
+        "text_hash",
+        (~linked | (F.col("component") == F.struct("row", "text_hash"))).alias("keeper"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(ta.table(spark, sf_dir, "documents"))
+    return join(ta.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
 
 
 ORACLE = """
