@@ -7,13 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import head_aggregate
-from ..plans.fixpoint import iterate, lattice, semi_naive, until, with_counts
+from ..plans.fixpoint import NoFixpoint, iterate, lattice, semi_naive, until, with_counts
 from ..plans.storage import Steps
 
 
+def settled(edges: DataFrame) -> DataFrame:
+    """Edges written once, dealt out by node: every round of a recursion reads them from there."""
+    return Steps(edges.sparkSession, "edges").put(edges.repartition("node"))
+
+
 def shortest_paths(edges: DataFrame, start: DataFrame, bucket: float | None = None) -> DataFrame:
     """(node, d): least cost from any start node; recursion through a min aggregate."""
 
+    edges = settled(edges)
+
     def step(delta: DataFrame) -> DataFrame:
         return delta.join(edges, "node").select(F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
 
@@ -24,6 +31,8 @@ def shortest_paths(edges: DataFrame, start: DataFrame, bucket: float | None = No
 def shortest_routes(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, d, route): least cost with the route that comes first among equals."""
 
+    edges = settled(edges)
+
     def step(delta: DataFrame) -> DataFrame:
         return delta.join(edges, "node").select(F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.concat("route", F.array("dst")).alias("route"))
 
@@ -34,6 +43,8 @@ def shortest_routes(edges: DataFrame, start: DataFrame) -> DataFrame:
 def all_pairs(edges: DataFrame) -> DataFrame:
     """(src, node, d) of every pair joined by a path of one edge or more."""
 
+    edges = settled(edges)
+
     def step(delta: DataFrame) -> DataFrame:
         return delta.join(edges, "node").select("src", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
 
@@ -51,6 +62,7 @@ def a_star(edges: DataFrame, start: DataFrame, goal: DataFrame, estimate: Column
     estimate beats the best goal so far go on."""
     spark = edges.sparkSession
     steps = Steps(spark, "astar")
+    edges = settled(edges)
     full = steps.put(start.select("node", F.lit(0).cast("long").alias("d")))
     delta = full
     for _ in range(10_000):
@@ -68,25 +80,27 @@ def a_star(edges: DataFrame, start: DataFrame, goal: DataFrame, estimate: Column
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes that the start nodes reach, themselves included."""
+    edges = settled(edges.select("node", "dst"))
     return semi_naive(start.select("node"), lambda d: d.join(edges, "node").select(F.col("dst").alias("node")))
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """(node, dst) joined by a path."""
-    first = edges.select("node", "dst")
+    first = settled(edges.select("node", "dst"))
     step = first.select(F.col("node").alias("dst"), F.col("dst").alias("to"))
     return semi_naive(first, lambda d: d.join(step, "dst").select("node", F.col("to").alias("dst")))
 
 
 def connectivity_counts(edges: DataFrame) -> DataFrame:
     """(node, dst, cnt): paths with how often each was derived."""
-    first = edges.select("node", "dst")
+    first = settled(edges.select("node", "dst"))
     step = first.select(F.col("node").alias("dst"), F.col("dst").alias("to"))
     return with_counts(first, lambda d: d.join(step, "dst").select("node", F.col("to").alias("dst")))
 
 
 def bounded_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(node, d): least cost over at most so many edges; one unrolled plan."""
+    """(node, d): least cost over at most so many edges; one unrolled plan over written edges."""
+    edges = settled(edges)
     best = start.select("node", F.lit(0).cast("long").alias("d"))
     for _ in range(hops):
         more = best.join(edges, "node").select(F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
@@ -95,11 +109,33 @@ def bounded_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component; edges count both ways."""
-    both = edges.select("node", "dst").unionByName(edges.select(F.col("dst").alias("node"), F.col("node").alias("dst"))).distinct()
-    both = Steps(edges.sparkSession, "undirected").put(both)
-    first = both.select("node", F.col("node").alias("label")).distinct()
-    return lattice(first, ["node"], "label", lambda d: d.join(both, "node").select(F.col("dst").alias("node"), "label"))
+    """(node, label): the smallest node of each node's component; edges count both ways.
+
+    Each round hooks every node to its least neighbour, follows the hooks to their roots and
+    contracts the edges.  Rounds after the first compare hashes that change with the round, so
+    their number grows with the logarithm of the nodes, not with the diameter.
+    """
+    steps = Steps(edges.sparkSession, "components")
+    nodes = edges.select("node").unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    left = steps.put(edges.where("node <> dst").select(F.least("node", "dst").alias("a"), F.greatest("node", "dst").alias("b")).distinct())
+    labels, turn = steps.put(nodes.select("node", F.col("node").alias("root"))), 0
+    while not left.isEmpty():
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        own, other = (F.xxhash64(c, F.lit(turn)) if turn else F.col(c) for c in "ab")
+        hook = ends.groupBy("a").agg(F.min_by("b", other).alias("b"), F.min(other).alias("least"))
+        hook = steps.put(hook.select(F.col("a").alias("v"), F.when(F.col("least") < own, F.col("b")).otherwise(F.col("a")).alias("p")))
+        moving = True
+        while moving:  # the distance to the root halves with each hop
+            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            hook = steps.put(hook.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            moving = not hook.where("moved").isEmpty()
+        moved = hook.select(F.col("v").alias("root"), F.col("p").alias("to"))
+        labels = steps.put(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        a, b = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        left = steps.put(left.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        turn += 1
+    least = labels.groupBy("root").agg(F.min("node").alias("label"))
+    return labels.join(least, "root").select("node", "label")
 
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, digits: int = 12) -> DataFrame:
@@ -142,7 +178,7 @@ def pagerank_until(edges: DataFrame, threshold: float, damping: float = 0.85) ->
     return until(nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank")), step, done)
 
 
-def greedy_coloring(edges: DataFrame) -> DataFrame:
+def greedy_coloring(edges: DataFrame, rounds: int = 100_000) -> DataFrame:
     """(node, color): each node takes the smallest color free among smaller-numbered neighbours.
 
     A node is ready when all of those have a color; every round colors all ready nodes at once.
@@ -154,12 +190,14 @@ def greedy_coloring(edges: DataFrame) -> DataFrame:
     need = steps.put(earlier.groupBy("node").agg(F.count("*").alias("need")))
     colored = steps.put(nodes.join(need, "node", "left_anti").select("node", F.lit(0).alias("color")))
     total = nodes.count()
-    while colored.count() < total:
+    for _ in range(rounds):
+        if colored.count() == total:
+            return colored
         seen = earlier.join(colored.withColumnRenamed("node", "dst"), "dst").groupBy("node").agg(F.count("*").alias("have"), F.sort_array(F.collect_set("color")).alias("taken"))
         ready = seen.join(need, "node").where("have = need").join(colored, "node", "left_anti")
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken")))
         colored = steps.put(colored.unionByName(ready.select("node", free.alias("color"))))
-    return colored
+    raise NoFixpoint(f"not all nodes have a color after {rounds} rounds")
 
 
 def valid_coloring(edges: DataFrame, colors: DataFrame) -> bool:
@@ -172,13 +210,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return head_aggregate(nodes, edges, ["node"], degree=F.count("*"), weight=F.sum(F.col("w").cast("long")))
 
 
-def max_flow(edges: DataFrame, source: int, sink: int) -> int:
+def max_flow(edges: DataFrame, source: int, sink: int, rounds: int = 100_000) -> int:
     """Value of a largest flow: breadth-first augmenting paths over residual capacities (node, dst, cap)."""
     steps = Steps(edges.sparkSession, "flow")
     back = edges.select(F.col("dst").alias("node"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("cap"))
     rest = steps.put(edges.select("node", "dst", F.col("cap").cast("long").alias("cap")).unionByName(back).groupBy("node", "dst").agg(F.sum("cap").alias("cap")))
     total = 0
-    while True:
+    for _ in range(rounds):
         level = steps.put(edges.sparkSession.createDataFrame([(source, [source], 1 << 62)], "node long, path array<long>, room long"))
         visited = level.select("node")
         found = None
@@ -198,3 +236,4 @@ def max_flow(edges: DataFrame, source: int, sink: int) -> int:
         pairs = list(zip(found["path"], found["path"][1:]))
         change = edges.sparkSession.createDataFrame([(a, b, -found["room"]) for a, b in pairs] + [(b, a, found["room"]) for a, b in pairs], "node long, dst long, delta long")
         rest = steps.put(rest.join(F.broadcast(change.groupBy("node", "dst").agg(F.sum("delta").alias("delta"))), ["node", "dst"], "left").select("node", "dst", (F.col("cap") + F.coalesce("delta", F.lit(0))).alias("cap")))
+    raise NoFixpoint(f"the flow still grows after {rounds} paths")

@@ -14,6 +14,7 @@ from ..plans.storage import Steps
 def heat_transfer(heat: DataFrame, edges: DataFrame, fixed: DataFrame, rounds: int, digits: int = 9) -> DataFrame:
     """(node, t): inner nodes take the weighted mean of their neighbours, ``fixed`` nodes keep theirs."""
     links = edges.select(F.col("dst").alias("node"), F.col("node").alias("src"), F.col("w").cast("double").alias("w"))
+    links = Steps(edges.sparkSession, "links").put(links.repartition("src"))
     kind = "decimal(38,12)"
 
     def step(state: DataFrame, _: int) -> DataFrame:

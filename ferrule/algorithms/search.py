@@ -78,27 +78,29 @@ def share_power(capacities: DataFrame, demands: DataFrame) -> DataFrame:
     """(consumer, generator): consumers, largest demand first, take the first generator with room, by turns.
 
     Each round offers every waiting consumer its next generator; a generator accepts, in order, as
-    many as fit.  capacities (generator, total), demands (consumer, power).
+    many as fit; who fits nowhere stays out.  capacities (generator, total), demands (consumer, power).
     """
     from pyspark.sql import Window as W
 
+    from ..operators.aggregates import number_from
+
     steps = Steps(capacities.sparkSession, "power")
-    ids = [r[0] for r in capacities.select("generator").orderBy("generator").collect()]  # generators are few
-    n = len(ids)
-    room = steps.put(capacities.select("generator", F.col("total").cast("long").alias("room")))
+    numbered = steps.put(number_from(capacities.select("generator", F.col("total").cast("long").alias("room")), 0, ["generator"], lanes=8))
+    n = numbered.count()
     waiting = steps.put(demands.select("consumer", F.col("power").cast("long").alias("power")))
+    empty = waiting.limit(0).join(numbered.select("generator"), F.lit(False)).select("consumer", "generator")
+    room = numbered
     placed = None
     for turn in range(n):
-        target = F.element_at(F.array(*[F.lit(i) for i in ids]), (F.pmod(F.xxhash64("consumer") + turn, F.lit(n)) + 1).cast("int"))
-        offers = waiting.withColumn("generator", target).join(room, "generator")
+        offers = waiting.withColumn("id", F.pmod(F.xxhash64("consumer") % F.lit(n) + turn, F.lit(n))).join(room, "id")
         running = F.sum("power").over(W.partitionBy("generator").orderBy(F.desc("power"), "consumer").rowsBetween(W.unboundedPreceding, 0))
         taken = steps.put(offers.withColumn("run", running).where("run <= room").select("consumer", "generator", "power"))
         placed = taken if placed is None else placed.unionByName(taken)
         used = taken.groupBy("generator").agg(F.sum("power").alias("used"))
-        room = steps.put(room.join(used, "generator", "left").select("generator", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
+        room = steps.put(room.join(used, "generator", "left").select("id", "generator", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
         waiting = steps.put(waiting.join(taken, "consumer", "left_anti"))
         if waiting.isEmpty():
             break
-    return placed.select("consumer", "generator")
+    return placed.select("consumer", "generator") if placed is not None else empty
 
 

@@ -38,7 +38,8 @@ def truncate(x, digits) -> Column:
 
 
 def intpower(a, b) -> Column:
-    return F.pow(_c(a), _c(b)).cast("int")
+    """Exact power of whole numbers; 1 for an exponent below 1, an overflow raises."""
+    return F.aggregate(F.array_repeat(_c(a).cast("long"), _c(b).cast("int")), F.lit(1).cast("long"), lambda acc, x: acc * x).cast("int")
 
 
 def myfabs(x) -> Column:

@@ -32,8 +32,8 @@ def exactly(xs: Column, n: int) -> Column:
 
 
 def truncating_div(a: Column, b: Column) -> Column:
-    """Integer division toward zero."""
-    return ((a - a % b) / b).cast("long")
+    """Integer division toward zero, exact for every long."""
+    return F.call_function("div", a, b)
 
 
 def remainder(a: Column, b: Column) -> Column:

@@ -7,6 +7,9 @@ on arrival.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +18,10 @@ from ..plans.relation import CNT
 
 
 def _winner(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first fact of each key; a null comes after every value."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(c).alias(c) for c in rest])).alias("w")
+    ranks = [x for i, o in enumerate(order) for x in (o.isNull().alias(f"n{i}"), o.alias(f"o{i}"))]
+    best = F.min(F.struct(*ranks, *[F.col(c).alias(c) for c in rest])).alias("w")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("w")[c].alias(c) for c in rest])
 
 
@@ -26,13 +31,22 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def min_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The whole fact with the smallest value; map-side combined."""
+    """The whole fact with the smallest value; map-side combined.  A null wins only where there is nothing else."""
     return _winner(df, keys, [F.col(value)])
 
 
 def max_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The whole fact with the largest value (numeric)."""
-    return _winner(df, keys, [-F.col(value)])
+    """The whole fact with the largest value, of any type that has an order."""
+    kind = df.schema[value].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):  # the smallest long has no opposite among longs
+        return _winner(df, keys, [-F.col(value).cast("decimal(20,0)")])
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return _winner(df, keys, [-F.col(value)])
+    top = df.groupBy(*keys).agg(F.max(value).alias("__top"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    right = top.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], "__top")
+    hit = reduce(lambda x, y: x & y, [*same, F.col(value).eqNullSafe(F.col("__top"))])
+    return _winner(df.join(right, hit).select(*df.columns), keys, [])
 
 
 def sum_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -47,17 +61,20 @@ def sum_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def sum_lists(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Element-wise sum of equally long lists: positions are summed apart, then gathered again."""
+    """Element-wise sum of lists: positions are summed apart, then gathered again.  A shorter list adds nothing at the
+    positions that it lacks; a null list is an empty one."""
     flat = df.select(*keys, F.posexplode(value).alias("pos", "x"))
     sums = flat.groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
     return sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("l")).select(*keys, F.col("l.x").alias(value))
 
 
 def head_aggregate(groups: DataFrame, matches: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    """Aggregates over the matches of every group; a group without matches fires once, with 0 for sums and counts."""
+    """Aggregates over the matches of every group; a group without matches fires once, with 0 for sums and counts and
+    null for all else."""
     got = matches.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
     out = groups.select(*keys).distinct().join(got, keys, "left")
-    zero = {f.name: F.lit(0).cast(f.dataType) for f in got.schema if f.name in aggs and f.dataType.simpleString() in ("int", "bigint", "double")}
+    kinds = {f.name: f.dataType for f in got.schema}
+    zero = {n: F.lit(0).cast(kinds[n]) for n, a in aggs.items() if re.match(r"Column<'(sum|count)\(", str(a))}
     return out.select(*keys, *[F.coalesce(F.col(n), zero[n]).alias(n) if n in zero else F.col(n) for n in aggs])
 
 

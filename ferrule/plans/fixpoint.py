@@ -8,11 +8,12 @@ nor memory grows with the rounds.  A loop that does not end within ``rounds`` ra
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relation import CNT, persistent
+from .relation import CNT, absent, persistent
 from .storage import Steps
 
 
@@ -25,8 +26,7 @@ def semi_naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds:
     steps = Steps(start.sparkSession, "fixpoint")
     every = delta = steps.put(start.distinct())
     for _ in range(rounds):
-        fresh = step(delta).select(*every.columns).distinct().join(every, every.columns, "left_anti")
-        delta = steps.put(fresh)
+        delta = steps.put(absent(step(delta).select(*every.columns).distinct(), every, every.columns))
         if delta.isEmpty():
             return every
         every = every.unionByName(delta)
@@ -59,7 +59,8 @@ def lattice(start: DataFrame, keys: list[str], value: str, step: Callable[[DataF
     """Recursion through a min or max aggregate: the best row of each key, improved until nothing improves.
 
     ``value`` decides, the other columns come along and break ties.  Retraction is implied:
-    a better row replaces the worse one and only the changed rows go on.  ``bucket`` handles
+    a better row replaces the worse one and only the changed rows go on; a round writes what it
+    improves, not the whole state.  ``bucket`` handles
     the improved rows in bands of that width, the best band first (a priority; same result).
     """
     steps = Steps(start.sparkSession, "lattice")
@@ -71,25 +72,34 @@ def lattice(start: DataFrame, keys: list[str], value: str, step: Callable[[DataF
         row = F.min(F.struct((sign * F.col(value)).alias("k"), *[F.col(c) for c in [value, *rest]])).alias("w")
         return df.groupBy(*keys).agg(row).select(*keys, *[F.col("w")[c].alias(c) for c in [value, *rest]]).select(*columns)
 
-    full = steps.put(best(start).withColumn("__new", F.lit(True)))
-    for _ in range(rounds):
-        ready = F.col("__new")
+    def state() -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    parts = [steps.put(best(start))]  # a compact state and the improvements since, each the size of its round
+    waiting = delta = parts[0]
+    for n in range(rounds):
         if bucket is not None:
-            low = full.where("__new").agg(F.min(sign * F.col(value))).first()[0]
+            low = waiting.agg(F.min(sign * F.col(value))).first()[0]
             if low is None:
-                return full.drop("__new")
-            ready = ready & (sign * F.col(value) <= low + bucket)
-        delta = full.where(ready).select(*columns)
-        waiting = full.withColumn("__new", F.col("__new") & ~ready) if bucket is not None else full.withColumn("__new", F.lit(False))
-        tagged = waiting.withColumn("__old", F.lit(0)).unionByName(best(step(delta)).withColumn("__new", F.lit(True)).withColumn("__old", F.lit(1)))
-        # an old row wins a tie, so only true improvements are new
-        row = F.min(F.struct((sign * F.col(value)).alias("k"), F.col("__old"), *[F.col(c) for c in [value, *rest, "__new"]])).alias("w")
-        merged = tagged.groupBy(*keys).agg(row).select(*keys, *[F.col("w")[c].alias(c) for c in [value, *rest, "__new"]])
-        full = steps.put(merged.select(*columns, "__new"))
-        if bucket is None and full.where("__new").isEmpty():
-            return full.drop("__new")
-        steps.drop_before(2)
-    raise NoFixpoint(f"no fixpoint in {rounds} rounds")
+                break
+            ready = sign * F.col(value) <= low + bucket
+            delta, later = waiting.where(ready), waiting.where(~ready)
+        old = F.min(F.when(F.col("__old"), sign * F.col(value))).alias("__had")
+        row = F.min(F.struct((sign * F.col(value)).alias("k"), *[F.col(c) for c in [value, *rest]])).alias("w")
+        met = state().withColumn("__old", F.lit(True)).unionByName(step(delta).select(*columns).withColumn("__old", F.lit(False)))
+        met = met.groupBy(*keys).agg(old, row).where(F.col("__had").isNull() | (F.col("w.k") < F.col("__had")))
+        improved = steps.put(met.select(*keys, *[F.col("w")[c].alias(c) for c in [value, *rest]]).select(*columns))
+        if bucket is None and improved.isEmpty():
+            break
+        delta = improved
+        if bucket is not None:
+            waiting = steps.put(best(later.unionByName(improved)))
+        parts.append(improved)
+        if len(parts) > 8:
+            parts = [steps.put(best(state()))]
+    else:
+        raise NoFixpoint(f"no fixpoint in {rounds} rounds")
+    return steps.put(best(state()))
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, unroll: int = 1) -> DataFrame:
@@ -122,4 +132,4 @@ def retract(base: DataFrame, removed: DataFrame, derive: Callable[[DataFrame], D
     Counting alone keeps cycles that support themselves alive, so what remains is derived
     anew from the remaining base: same result for cyclic and acyclic support.
     """
-    return derive(base.join(removed, base.columns, "left_anti"))
+    return derive(absent(base, removed, base.columns))

@@ -8,6 +8,8 @@ apart.  The first column of a graph relation is ``node`` by convention, not by f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,13 @@ from pyspark.sql import functions as F
 CNT, FID = "cnt", "fid"
 
 
+def absent(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``columns`` are not in ``other``; nulls equal each other, so a fact with a null is known again."""
+    right = other.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns)])
+    return df.join(right, same, "left_anti")
+
+
 def payload(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (CNT, FID)]
 
@@ -53,11 +62,17 @@ def repeat_by_count(df: DataFrame) -> DataFrame:
 
 
 def linear(df: DataFrame) -> DataFrame:
-    """Facts with an id that depends on their values and their number among equals only."""
+    """Facts with an id that depends on their values and their number among equals only.
+
+    Equal facts are counted (partly before the shuffle) and numbered from the count, so many of
+    them never meet as rows in one task.
+    """
     keys = payload(df)
-    same = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
-    text = F.to_json(F.struct(*keys))
-    return df.select(*keys).withColumn(FID, F.concat_ws("#", F.md5(text), same.cast("string")))
+    counted = df.groupBy(*keys).agg(F.count("*").alias("__n")) if keys else df.agg(F.count("*").alias("__n"))
+    text = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    return counted.select(*keys, text.alias("__t"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__k")).select(
+        *keys, F.concat_ws("#", "__t", F.col("__k").cast("string")).alias(FID)
+    )
 
 
 def consume(facts: DataFrame, used: DataFrame) -> DataFrame:

@@ -5,15 +5,20 @@ Every executor can read them again, so a lost executor costs a task, not the loo
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where it is unset."""
+    """spark.checkpoint.dir of the session; only a local session may go without it."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (conf or "file:///tmp/checkpoints/ferrule").rstrip("/")
+    if not conf:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf = "file:///tmp/checkpoints/ferrule"
+    return conf.rstrip("/")
 
 
 class Steps:
@@ -32,8 +37,11 @@ class Steps:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop_before(self, keep: int) -> None:
         """Delete all but the last ``keep`` steps; nothing may still read them."""
         while len(self.paths) > keep:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths.pop(0))

@@ -24,12 +24,10 @@ def state_machine(facts: DataFrame, key: str, event: str, order: str, start: str
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else start
-        for frame in frames:
-            frame = frame.sort_values([order, event])
-            before = [now, *frame[event].tolist()[:-1]]
-            now = frame[event].iloc[-1]
-            yield pd.DataFrame({key: frame[key].values, order: frame[order].values, "state": before, event: frame[event].values})
-        state.update((now,))
+        frame = pd.concat(list(frames)).sort_values([order, event])  # a key's events may come in several frames of one batch
+        before = [now, *frame[event].tolist()[:-1]]
+        state.update((frame[event].iloc[-1],))
+        yield pd.DataFrame({key: frame[key].values, order: frame[order].values, "state": before, event: frame[event].values})
 
     out = T.StructType([facts.schema[key], facts.schema[order], T.StructField("state", T.StringType()), facts.schema[event]])
     return facts.groupBy(key).applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.NoTimeout)
