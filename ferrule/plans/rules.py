@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..operators.match import first_matches, pair_by_rank, select_min, select_random
 from .fixpoint import NoFixpoint
-from .relation import FID, linear, payload
+from . import schedule
+from .relation import FID, absent, linear, payload
 from .storage import Steps
 
 
@@ -67,7 +68,7 @@ class Rule:
     aggregates: tuple[tuple[str, Column], ...] = ()  # head aggregates by the variables in ``group``
     group: tuple[str, ...] = ()
     name: str = ""
-    priority: int = 0  # a scheduling hint for equal rules; never changes a confluent result
+    priority: int = 0  # rules of a higher one are tried first
 
 
 @dataclass
@@ -77,6 +78,29 @@ class Program:
     rules: list[Rule] = field(default_factory=list)
     actions: dict[str, object] = field(default_factory=dict)
     stop_on: str | None = None
+    order: schedule.Order | None = None
+    consumed: dict[str, int] = field(default_factory=dict)  # facts that runs used up, by predicate
+    proved: dict[str, int] = field(default_factory=dict)  # facts that runs derived, by predicate
+
+    def coordinate(self, asc: bool = False, initial: float = 0.0, cpus: int = 1) -> "Program":
+        """Let priorities decide which nodes go first; declares the predicates of ``schedule.EDITS``, and
+        ``placement`` (node, cpu), which rules may read, and ``just-moved`` (node)."""
+        self.order = schedule.Order(asc, initial, cpus)
+        for name, schema in schedule.EDITS.items():
+            self._add(name, schema, True)
+        self._add("just-moved", "node long", True)
+        return self._add("placement", "node long, cpu int", False)
+
+    def thread_facts(self, n: int) -> dict[str, DataFrame]:
+        """Declares thread-list, other-thread and leader-thread, keyed by thread, and returns their facts.
+
+        Facts of a thread are relations with a first column ``thread``; a head for another
+        thread sends them there.
+        """
+        self.persistent("thread-list", "thread int").persistent("other-thread", "thread int, other int").persistent("leader-thread", "thread int")
+        one = self.spark.range(n).select(F.col("id").cast("int").alias("thread"))
+        others = one.select("thread", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")).where("thread <> other")
+        return {"thread-list": one, "other-thread": others, "leader-thread": one.where("thread = 0")}
 
     def _add(self, name: str, schema: str, is_linear: bool, is_action: bool = False) -> "Program":
         fields = [x.strip().split(" ", 1) for x in schema.split(",")]
@@ -155,7 +179,7 @@ class Program:
         """Matches of a rule whose two facts only have to share their key: the n-th of the one with the n-th
         of the other, which is what greedy matching takes, without making all combinations."""
         names = {a.predicate for a in rule.body}
-        plain = len(rule.body) == 2 == len(names) and rule.where is None and not rule.select and not rule.aggregates
+        plain = self.order is None and len(rule.body) == 2 == len(names) and rule.where is None and not rule.select and not rule.aggregates
         if not plain or not all(self.predicates[a.predicate].is_linear and not a.keep for a in rule.body):
             return None
         left, right = (self._atom_frame(facts, a, i) for i, a in enumerate(rule.body))
@@ -172,6 +196,8 @@ class Program:
             got = got.withColumn(name, value)
         if rule.where is not None:
             got = got.where(rule.where)
+        if self.order and "__nodes" in facts and self._uses_linear(rule):
+            got = self._best_nodes(facts, rule, got)
         ids = [f"__f{i}" for i, a in enumerate(rule.body) if self.predicates[a.predicate].is_linear and not a.keep]
         plain = [c for c in got.columns if not c.startswith("__")]
         used: dict[str, DataFrame] = {}
@@ -206,6 +232,31 @@ class Program:
             made.setdefault(h.predicate, []).append(rows.select(*[t.cast(kind).alias(f) for t, kind, f in zip(terms, p.types, p.fields)]))
         return matched, used, made
 
+    def _best_nodes(self, facts: dict[str, DataFrame], rule: Rule, got: DataFrame) -> DataFrame:
+        """Matches at the nodes whose priority is the best among those that match."""
+        key = rule.body[0].terms[0]
+        if not isinstance(key, str):
+            return got
+        ranks = schedule.current(facts["__nodes"], self.order).select(F.col("node").alias(key), F.col("priority").alias("__priority"))
+        ranked = got.join(ranks, key, "left").withColumn("__priority", F.coalesce("__priority", F.lit(self.order.initial)))
+        best = ranked.agg((F.min if self.order.asc else F.max)("__priority")).first()[0]
+        return ranked.where(F.col("__priority") == F.lit(best)).drop("__priority") if best is not None else got
+
+    def _coordinate(self, now: dict[str, DataFrame], steps: Steps) -> dict[str, DataFrame] | None:
+        """Take up the edits that have been derived; returns new facts of ``placement``, None if there were no edits."""
+        fresh, some = {}, False
+        for name in schedule.EDITS:
+            if not now[name].isEmpty():
+                some = True
+                after = steps.put(schedule.edit(now["__nodes"], name, now[name].select(*self.predicates[name].fields), self.order))
+                if name in ("set-cpu", "set-affinity"):
+                    moved = schedule.just_moved(now["__nodes"], after)
+                    now["just-moved"] = steps.put(linear(now["just-moved"].select("node").unionByName(moved)))
+                    now["placement"] = fresh["placement"] = steps.put(after.select("node", "cpu"))
+                now["__nodes"] = after
+                now[name] = steps.put(now[name].limit(0))
+        return fresh if some else None
+
     # the loop -----------------------------------------------------------------------
 
     def run(self, facts: dict[str, DataFrame], rounds: int = 1000) -> dict[str, DataFrame]:
@@ -216,9 +267,15 @@ class Program:
             df = facts.get(name)
             df = self.frame(name, []) if df is None else df.select(*[df[c].cast(t).alias(f) for c, f, t in zip(df.columns, p.fields, p.types)])
             now[name] = steps.put(linear(df) if p.is_linear else df.distinct())
+        if self.order:
+            keyed = [now[n].select(F.col(p.fields[0]).cast("long").alias("node")) for n, p in self.predicates.items() if p.fields[0] == "node" and n in facts]
+            nodes = reduce(DataFrame.unionByName, keyed).distinct() if keyed else self.spark.createDataFrame([], "node long")
+            now["__nodes"] = steps.put(schedule.place(nodes, self.order.cpus))
+            now["placement"] = steps.put(now["__nodes"].select("node", "cpu"))
+            self._coordinate(now, steps)
         fresh = {n: now[n] for n, p in self.predicates.items() if not p.is_linear and not now[n].isEmpty()}
         settled: dict[str, DataFrame] = {}
-        rules = [r for r in self.rules if self._uses_linear(r)]
+        rules = sorted((r for r in self.rules if self._uses_linear(r)), key=lambda r: -r.priority)
         for _ in range(rounds):
             self._saturate(now, settled, fresh, steps, rounds)
             if self.stop_on and not now[self.stop_on].isEmpty():
@@ -227,12 +284,14 @@ class Program:
                 if not any(now[a.predicate].isEmpty() for a in rule.body):
                     fresh = self._step(now, rule, steps)
                     if fresh is not None:
+                        if self.order and (more := self._coordinate(now, steps)):
+                            fresh |= more
                         break
             else:
                 break
         else:
             raise NoFixpoint(f"the program did not end in {rounds} rule runs")
-        return {n: df.select(*payload(df)) for n, df in now.items()}
+        return {n: df.select(*payload(df)) for n, df in now.items() if n != "__nodes"} | ({"nodes": now["__nodes"]} if self.order else {})
 
     def _saturate(self, now: dict[str, DataFrame], settled: dict[str, DataFrame], fresh: dict[str, DataFrame], steps: Steps, rounds: int) -> None:
         """Persistent rules to their fixpoint; every match is made once, when its last fact is new.
@@ -275,7 +334,7 @@ class Program:
         if p.is_linear:
             now[name] = steps.put(linear(now[name].select(*p.fields).unionByName(rows)))
             return None
-        new = steps.put(rows.distinct().join(now[name], list(p.fields), "left_anti"))
+        new = steps.put(absent(rows.distinct(), now[name], list(p.fields)))
         if new.isEmpty():
             return None
         grown = now[name].unionByName(new)
@@ -291,8 +350,12 @@ class Program:
         if steps.put(matched).isEmpty():
             return None
         made = {name: [steps.put(df) for df in dfs] for name, dfs in made.items()}  # heads see the facts before the run
-        left = {name: steps.put(now[name].join(ids.distinct(), FID, "left_anti")) for name, ids in used.items()}
-        now.update(left)
+        used = {name: steps.put(ids.distinct()) for name, ids in used.items()}
+        for name, ids in used.items():
+            self.consumed[name] = self.consumed.get(name, 0) + ids.count()
+        for name, dfs in made.items():
+            self.proved[name] = self.proved.get(name, 0) + sum(df.count() for df in dfs)
+        now.update({name: steps.put(now[name].join(ids, FID, "left_anti")) for name, ids in used.items()})
         fresh = {}
         for name, dfs in sorted(made.items()):
             new = self._absorb(now, name, dfs, steps)
