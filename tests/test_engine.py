@@ -329,3 +329,81 @@ def test_upsert_and_scatter(spark):
     edits = spark.createDataFrame([(0, 7, 1), (0, 3, 2), (9, 9, 1)], "node long, value int, n int")
     assert rows(M.remote_upsert(state, edits, ["node"], ["value"], [F.desc("n")])) == [(0, 3), (1, 2)]
     assert rows(M.scatter(state, edges(spark, (0, 1), (0, 2)).select("node", "dst"))) == [(1, 1), (2, 1)]
+
+
+def test_nulls_lose_in_aggregates_and_end_in_fixpoints(spark):
+    df = spark.createDataFrame([(1, None, "n"), (1, 3, "a"), (1, 5, "b"), (2, None, "z"), (3, -(2**63), "m")], "node long, x long, tag string")
+    assert rows(A.min_of(df, ["node"], "x")) == [(1, 3, "a"), (2, None, "z"), (3, -(2**63), "m")]
+    assert rows(A.max_of(df, ["node"], "x")) == [(1, 5, "b"), (2, None, "z"), (3, -(2**63), "m")]
+    assert rows(A.max_of(df.select("node", "tag", "x"), ["node"], "tag")) == [(1, "n", None), (2, "z", None), (3, "m", -(2**63))]
+    assert rows(A.first_of(df, ["node"], ["x"])) == [(1, 3, "a"), (2, None, "z"), (3, -(2**63), "m")]
+    start = spark.createDataFrame([(1, None)], "node long, y long")
+    assert rows(X.semi_naive(start, lambda d: d.select("node", "y"), rounds=3)) == [(1, None)]
+    p = Program(spark).persistent("a", "node long, y long").persistent("b", "node long, y long")
+    p.rule([Atom("a", ("A", "Y"))], [Head("b", ("A", "Y"))])
+    p.rule([Atom("b", ("A", "Y"))], [Head("a", ("A", "Y"))])
+    assert rows(p.run({"a": start})["b"]) == [(1, None)]
+
+
+def test_empty_groups_of_head_aggregates(spark):
+    groups, facts = spark.createDataFrame([(7,), (8,)], "node long"), spark.createDataFrame([(7, 5)], "node long, x long")
+    got = A.head_aggregate(groups, facts, ["node"], least=F.min("x"), total=F.sum("x"), n=F.count("*"))
+    assert rows(got) == [(7, 5, 5, 1), (8, None, 0, 0)]
+
+
+def test_exact_whole_numbers(spark):
+    from ferrule.functions import patterns as P
+
+    d = spark.createDataFrame([(9007199254740993, 1), (-9007199254740993, 2)], "a long, b long")
+    assert rows(d.select(P.truncating_div(F.col("a"), F.col("b")))) == [(-4503599627370496,), (9007199254740993,)]
+    assert rows(d.limit(1).select(B.intpower(3, 19), B.intpower(5, 0), B.intpower(-2, 3))) == [(1162261467, 1, -8)]
+
+
+def test_power_without_generators(spark):
+    none = spark.createDataFrame([], "generator long, total long")
+    want = spark.createDataFrame([(1, 5)], "consumer long, power long")
+    assert Q.share_power(none, want).count() == 0
+    one = spark.createDataFrame([(9, 7)], "generator long, total long")
+    two = spark.createDataFrame([(1, 5), (2, 3)], "consumer long, power long")
+    assert rows(Q.share_power(one, two)) == [(1, 9)]
+
+
+def test_lattice_buckets_and_components_of_chains(spark):
+    chain = edges(spark, *[(i, i + 1, 2) for i in range(40)], (0, 39, 100), (39, 0, 1))
+    start = spark.createDataFrame([(0,)], "node long")
+    want = [(i, 2 * i) for i in range(41)]
+    assert sorted(rows(G.shortest_paths(chain, start))) == want == sorted(rows(G.shortest_paths(chain, start, bucket=10)))
+    apart = edges(spark, *[(i, i + 1) for i in range(60)], (100, 101), (7, 7), (200, 200))
+    assert sorted(rows(G.components(apart))) == [(i, 0) for i in range(61)] + [(100, 100), (101, 100), (200, 200)]
+
+
+def test_priorities_placement_and_threads(spark):
+    p = Program(spark).coordinate(asc=True, initial=5.0, cpus=2).linear("w", "node long").persistent("ran", "node long")
+    p.rule([Atom("w", ("A",))], [Head("ran", ("A",))])
+    p.stop_on = "ran"
+    out = p.run({"w": p.frame("w", [(1,), (2,), (3,), (4,)]), "set-priority": p.frame("set-priority", [(1, 9.0), (2, 1.0)]), "add-priority": p.frame("add-priority", [(3, -4.0)])})
+    assert rows(out["ran"]) == [(2,), (3,)] and rows(out["w"]) == [(1,), (4,)] and p.consumed == {"w": 2} and p.proved == {"ran": 2}
+    assert rows(out["placement"]) == [(1, 0), (2, 0), (3, 1), (4, 1)]
+    p = Program(spark).coordinate(cpus=2).linear("w", "node long").persistent("ran", "node long")
+    p.rule([Atom("w", ("A",))], [Head("ran", ("A",))])
+    p.stop_on = "ran"
+    out = p.run({"w": p.frame("w", [(1,), (2,)]), "schedule-next": p.frame("schedule-next", [(1,)]), "set-cpu": p.frame("set-cpu", [(1, 1)]), "set-affinity": p.frame("set-affinity", [(2, 1)]), "set-static": p.frame("set-static", [(2,)])})
+    assert rows(out["ran"]) == [(1,)] and rows(out["placement"]) == [(1, 1), (2, 1)] and rows(out["just-moved"]) == [(1,)]
+    assert rows(out["nodes"].select("node", "static")) == [(1, False), (2, True)]
+    p = Program(spark)
+    facts = p.thread_facts(3)
+    p.linear("hi", "thread int").persistent("told", "thread int")
+    p.rule([Atom("hi", ("T",)), Atom("leader-thread", ("T",))], [Head("told", ("O",), over=(Atom("other-thread", ("T", "O")),))])
+    assert rows(p.run(facts | {"hi": p.frame("hi", [(0,), (1,)])})["told"]) == [(1,), (2,)]
+
+
+def test_rule_priority_goes_before_source_order(spark):
+    p = Program(spark).linear("a", "node long").linear("out", "node long, how string")
+    p.rule([Atom("a", ("A",))], [Head("out", ("A", F.lit("low")))])
+    p.rule([Atom("a", ("A",))], [Head("out", ("A", F.lit("high")))], priority=1)
+    assert rows(p.run({"a": p.frame("a", [(0,)])})["out"]) == [(0, "high")]
+
+
+def test_weighted_snap(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("# c\n1\t2\t7\n2\t3\t9\n")
+    assert rows(S.snap(spark, f"file://{tmp_path}/g.txt", weighted=True)) == [(1, 2, 7), (2, 3, 9)]
