@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from ferrule.llm import bpe, decontaminate, langid, lm_attention, ngram_jaccard, quality, registry, sharding, token_count, toxicity, warc
 from ferrule.llm import text_arrays as ta
 
@@ -117,7 +119,10 @@ def test_components_of_chains_and_trees(spark):
     tree = [(mixed[1500 + i], mixed[1500 + rng.randrange(i)]) for i in range(1, 1000)]
     star = [(mixed[2500], x) for x in mixed[2501:]]
     edges = spark.createDataFrame([*chain, *tree, *star, (mixed[0], mixed[0])], "a long, b long")
-    got = {r.cid: r.component_id for r in ngram_jaccard.components(edges).collect()}
+    parts = {}
+    for r in ngram_jaccard.components(edges).collect():
+        parts.setdefault(r.root, []).append(r.cid)
+    got = {v: min(part) for part in parts.values() for v in part}
     assert got == {v: min(part) for part in (mixed[:1500], mixed[1500:2500], mixed[2500:]) for v in part}
 
 
@@ -125,6 +130,11 @@ def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 9.0, "x"), (1, "a b c d e f", 9.0, "x"), (2, None, 1.0, "y")], "doc_id long, text string, score double, component_id string")
     got = sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_jaccard.join(df).collect())
     assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
+    w = [f"w{i}" for i in range(60)]  # B and C are near A, but not near each other
+    a, b, c = w, ["x", *w[1:30], *w[30:]], [*w[:59], "y"]
+    two = spark.createDataFrame([(5, " ".join(a)), (5, " ".join(b)), (9, " ".join(c)), (None, " ".join(a[:-1]))], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.join(two).collect()}
+    assert got == {(5, 56, 5, 3), (9, 56, 5, 3), (None, 55, 5, 3)}
     model = toxicity.fit(["a", "b"], np.array([0, 1]))
     out = toxicity.score_toxicity(df, model)
     assert out.columns == ["doc_id", "text", "component_id", "score"] and out.count() == 3
@@ -151,7 +161,48 @@ def test_bpe_out_of_order_ranks():
     rng = random.Random(1)
     tests = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(300)]
     for word, ids in zip(tests, encoder.encode(tests)):
-        assert tuple(ids) == ((ranks[word.encode()],) if word.encode() in ranks else encoder.alone(word.encode()))
+        assert ids == ([ranks[word.encode()]] if word.encode() in ranks else brute_bpe(ranks, word.encode()))
+
+
+def brute_bpe(ranks, word):
+    parts = [bytes([b]) for b in word]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_bpe_replay_under_random_ranks():
+    rng = random.Random(1)
+    for _ in range(60):
+        letters = b"abc"[: rng.randint(1, 3)]
+        more = {bytes(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 25))}
+        ranks = {x: i for i, x in enumerate([bytes([b]) for b in range(256)] + rng.sample(sorted(more), len(more)))}
+        tried = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+        flat, lens = bpe.Encoder(ranks).replay(tried)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])]
+        assert got == [[ranks[w]] if w in ranks else brute_bpe(ranks, w) for w in tried]
+
+
+def test_very_long_texts(spark):
+    """A text of megabytes, and one word of megabytes without a blank, through every operator of texts."""
+    import tiktoken
+
+    rng = random.Random(2)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    rows = [(1, word), (2, "der Hund und die Katze. " * 50_000), (3, "ab" * 100_000)]
+    df = frame(spark, rows)
+    library = tiktoken.Encoding("own", pat_str=bpe.pattern(), mergeable_ranks=bpe.load_ranks(bpe.vocabulary_path()), special_tokens={})
+    got = {r.doc_id: r for r in bpe.round_trip(df).collect()}
+    assert all(bytes(got[i].decoded).decode() == t for i, t in rows) and list(got[2].ids) == library.encode_ordinary(rows[1][1])
+    assert {r.doc_id: r.n_shingles for r in ngram_jaccard.join(df).collect()} == {1: 1, 2: 5, 3: 1}
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df).collect()}[2] > 200_000
+    model = langid.fit(["the cat and the dog", "der Hund und die Katze"], ["en", "de"])
+    assert {r.doc_id: r.lang_pred for r in langid.identify_language(df, model).collect()}[2] == "de"
+    assert decontaminate.find_leaks(df, spark.createDataFrame([(7, "die Katze. der Hund und die")], "item_id long, text string")).count() == 1
+    assert lm_attention.score(df, F.col("doc_id") == 2).count() == 3
+    assert toxicity.score_toxicity(df, toxicity.fit(["a", "b"], np.array([0, 1]))).count() == 3
+    assert {r.doc_id: r.n_words for r in quality.measure(df).select("doc_id", "n_words").collect()} == {1: 1, 2: 250_000, 3: 1}
 
 
 def test_bpe_forgets_without_change(monkeypatch):
@@ -249,6 +300,18 @@ def test_multi_index_finds_all_within_radius():
     assert set(items.candidates(30, prints)) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS))))
 
 
+def test_radius_loses_nothing(spark, monkeypatch):
+    docs, bench = ta.table(spark, "/root/testdata/sf0.01", "documents"), ta.table(spark, "/root/testdata/sf0.01", "benchmark")
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
+    rows = bench.collect()
+    items = decontaminate.Items([r.item_id for r in rows], [r.text for r in rows])
+    everything = lambda n, prints: [(i, int(k)) for i in range(len(prints)) for k in np.flatnonzero(items.size == n)]
+    monkeypatch.setattr(items, "candidates", everything)
+    ids = [(r.doc_id, r.text) for r in docs.collect()]
+    want = sorted((ids[r][0], items.ids[i], s, e, same) for r, i, s, e, same in items.leaks(pa.array([t for _, t in ids])))
+    assert got == want and got
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u", None), (8, "u", ""), (4, "u\r\nx", "x" * 200000), (4, "u\r\nx", "x" * 200000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -326,15 +389,40 @@ def test_sharding_brute_force(spark, monkeypatch):
     assert sharding.assign(frame(spark, rows).limit(0), shards=7).count() == 0
 
 
-def test_longest_first_is_lpt():
-    assert sharding.longest_first([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+def plain_lpt(sizes, shards):
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return sorted(loads)
+
+
+def test_longest_first_is_lpt(spark):
+    rng = random.Random(4)
+    for _ in range(200):
+        shards = rng.randint(1, 6)
+        classes = {rng.randint(1, 40): rng.choice([1, 2, 3, 50, 700]) for _ in range(rng.randint(1, 12))}
+        loads = [0] * shards
+        seen = {}
+        for size, shard, lo, hi in sharding.longest_first(list(classes.items()), shards):
+            loads[shard] += size * (hi - lo)
+            seen.setdefault(size, []).append((lo, hi))
+        assert sorted(loads) == plain_lpt([s for s, n in classes.items() for _ in range(n)], shards)
+        for size, ranges in seen.items():  # every rank once
+            assert sorted(x for lo, hi in ranges for x in range(lo, hi)) == list(range(classes[size]))
+    rows = odd_texts()
+    loads, groups = {}, {}
+    for r in sharding.assign(frame(spark, rows), shards=7).collect():
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    for _, t in rows:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 16
+    assert sorted(loads.values()) == [x for x in plain_lpt(groups.values(), 7) if x]
 
 
 def brute_marginal(word, prob):
     """Sum over all segmentations of one word, by recursion."""
     if not word:
         return 1.0
-    return sum(prob.get(word[:k], 0.0) * brute_marginal(word[k:], prob) for k in range(1, min(len(word), langid.LONGEST) + 1))
+    return sum(prob.get(word[:k], 0.0) * brute_marginal(word[k:], prob) for k in range(1, len(word) + 1))
 
 
 def test_forward_sums_all_segmentations():
@@ -344,16 +432,28 @@ def test_forward_sums_all_segmentations():
 
     def key(piece):
         d = np.frombuffer(piece, np.uint8)
-        return int(lookup(ta.span_hashes(ta.running_sums(d), np.array([0]), np.array([len(d)])))[0])
+        return int(lookup(ta.span_hashes(d, np.array([0]), np.array([len(d)])))[0])
 
-    doc, which, data, size = langid.distinct_words(pa.array(["abab katze"]))
-    got = langid.word_log_prob(data, size, model, lookup)
-    for i in range(len(size)):
-        word = b" " + data[i, : size[i]].tobytes()
+    w = ta.words_of(pa.array(["abab katze international"]))
+    got = langid.word_log_prob(w.data, w.starts, w.ends - w.starts, model, lookup)
+    for i, (a, b) in enumerate(zip(w.starts, w.ends)):
+        word = b" " + w.data[a:b].tobytes()
         pieces = {word[a:b]: key(word[a:b]) for a in range(len(word)) for b in range(a + 1, len(word) + 1)}
         for j in range(2):
             prob = {p: model.prob[k, j] for p, k in pieces.items() if k >= 0}
             assert np.isclose(10 ** got[i, j], brute_marginal(word, prob), rtol=1e-9)
+    # words of any length, by whatever way: in doubles, in extended floats, scaled
+    data = np.frombuffer(b"donaudampfschiff" * 200, np.uint8)
+    for size in (20, 32, 33, 400, 512):
+        got = langid.word_log_prob(data, np.array([0]), np.array([size]), model, lookup)[0]
+        assert np.allclose(got, langid.long_word(data[:size], model, lookup), rtol=1e-9)
+    texts = pa.array(["abab katze", "die katze " * 3 + "donaudampfschiff" * 100, None])
+    scorer = langid.Scorer(model)
+    first, again = scorer.predict(texts), scorer.predict(texts)
+    assert first[0] == again[0] and (first[1] == again[1]).all()
+    w = ta.words_of(texts)
+    total = langid.word_log_prob(w.data, w.starts, w.ends - w.starts, model, lookup)[w.doc == 0].sum(0)
+    assert np.isclose(first[1][0], 1 / (10 ** (total - total.max())).sum())
 
 
 def test_language_held_out(spark):
@@ -379,9 +479,20 @@ def test_toxicity_learns_pairs_and_held_out(spark):
     fresh = [" ".join(noise() + more) for more in (["insult"], ["group"], ["insult", "group"], []) for _ in range(50)]
     toxic = (toxicity.predict(model, pa.array(fresh)) >= 0.5).reshape(4, 50).mean(1)
     assert toxic[2] > 0.95 and max(toxic[0], toxic[1], toxic[3]) < 0.05
+    # either word alone: neither tells anything by itself
+    model = toxicity.fit(texts, np.array([(k % 2) ^ ((k // 2) % 2) for k in range(1200)]))
+    toxic = (toxicity.predict(model, pa.array(fresh)) >= 0.5).reshape(4, 50).mean(1)
+    assert min(toxic[0], toxic[1]) > 0.95 and max(toxic[2], toxic[3]) < 0.05
+    for text, score in zip(fresh[::20], toxicity.predict(model, pa.array(fresh[::20]))):  # the sum over all pairs, pair by pair
+        _, terms = toxicity.distinct_terms(*toxicity.term_sets(pa.array([text])))
+        at = [i for i in np.searchsorted(model.buckets, terms) if i < len(model.buckets) and model.buckets[i] in terms]
+        z = model.bias + sum(float(model.linear[i]) for i in at)
+        z += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert np.isclose(score, 1 / (1 + np.exp(-z)), rtol=1e-5)
     assert np.allclose(*toxicity.predict(model, pa.array(["", None], pa.string())))
     got = toxicity.query(spark, "/root/testdata/sf0.1").join(ta.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) >= 0.85 * sum(r.toxic for r in got)  # some 290 toxic documents to learn from
     assert toxicity.fit([], np.array([])).bias == -40.0
 
 
@@ -394,7 +505,7 @@ def test_lm_base_against_brute_force(spark, monkeypatch):
 
     counts = Counter(x for _, t in train for x in [*words(t), None])
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in lm_attention.score(frame(spark, rows), frame(spark, train)).collect()}
+    got = {r.doc_id: r for r in lm_attention.score(frame(spark, rows), F.col("doc_id").isin([i for i, _ in train])).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         w = [*words(t), None]
@@ -410,25 +521,76 @@ def test_lm_context_width():
     assert len(begin) > 10 and (first[1:] - begin[1:] >= 8).all() and (length[:-1] == 32).all()
 
 
+def encoded(spark, rows, n=3):
+    return lm_attention.encode(frame(spark, rows, n), None, "text", "doc_id", F.lit(True))
+
+
+def streams(spark, rows):
+    got = encoded(spark, rows, 1).select("ids").toArrow().column(0).combine_chunks()
+    return lm_attention.id_streams(got, np.uint16)
+
+
 def test_lm_layout_and_weights_take_the_whole_corpus(spark, monkeypatch):
     rows = odd_texts()
-    ids, _ = lm_attention.sample_streams(pa.array([t for _, t in rows]), path := lm_attention.vocabulary_path(lm_attention.VOCABULARY))
+    ids, _ = streams(spark, rows)
     want, seen, layout = np.bincount(ids, minlength=50257), [], lm_attention.layout
     monkeypatch.setattr(lm_attention, "SAMPLE", 2)
     monkeypatch.setattr(lm_attention, "layout", lambda counts: seen.append(counts) or layout(counts))
-    lm_attention.score(frame(spark, rows), frame(spark, rows)).count()
+    lm_attention.score(frame(spark, rows), F.lit(True)).count()
     assert (seen[0] == want).all()
-    shape = layout(want.astype(float))
-    start = lm_attention.fit_weights(shape, ids[:0], np.zeros(0, dtype=np.int64))
     monkeypatch.setattr(lm_attention, "IDS_A_STEP", 1000)
-    steps = []
+    shape, steps = layout(want.astype(float)), []
+    start = lm_attention.fit_weights(shape, ids[:0], np.zeros(0, int), want)
     for times in (1, 3):
-        got = {(r.kind, r.key): r.n for r in lm_attention.corpus_pass(frame(spark, rows * times, 1), shape, start, path, "text").collect()}
+        got = {(r.kind, r.key): r.n for r in lm_attention.corpus_pass(encoded(spark, rows * times, 1), shape, start, None).collect()}
         steps.append(got[4, lm_attention.ROWS + 1])
         assert sum(n for (k, _), n in got.items() if k == 2) == times * len(ids)
     assert steps == [-(-len(ids) // 1000), -(-3 * len(ids) // 1000)]
 
 
+def test_lm_words_encode_alike_alone_and_together():
+    subwords = lm_attention.Subwords(lm_attention.vocabulary_path(lm_attention.VOCABULARY))
+    tried = ["der", "hund,", "a\u00a0", "x\u3000y", "é!", "42"]
+    flat, lens = subwords.encoded(tried)
+    parts = [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])]
+    for word, ids in zip(tried, parts):
+        assert subwords.encoding.decode(ids) == " " + word
+    plain = [w for w in tried if not w.isspace() and "\u00a0" not in w]
+    flat, lens = subwords.encoded(plain)
+    assert flat.tolist() == [i for w in plain for i in subwords.encoding.encode_ordinary(" " + w)]
+
+
+def test_lm_score_against_plain_loops():
+    rng = np.random.default_rng(2)
+    shape = lm_attention.layout(np.arange(500.0))
+    start = lm_attention.train_weights(np.zeros((0, lm_attention.WINDOW), int), np.zeros((0, lm_attention.WINDOW), int), np.ones(lm_attention.CLASSES))
+    pairs = rng.integers(0, 3, (lm_attention.CLASSES, lm_attention.ROWS))
+    model = lm_attention.Model(shape, *lm_attention.shares(shape, np.arange(500.0), pairs), start)
+    w = {n: x.astype(float) for n, x in start.items()}
+    sizes = np.array([1, 31, 32, 33, 90])
+    ids = rng.integers(0, 500, sizes.sum())
+    ids[np.cumsum(sizes) - 1] = 499
+    want, at = [], 0
+    for n in sizes:
+        text, total, done, begin = ids[at : at + n], 0.0, 0, 0
+        while done < n:
+            piece = text[begin : begin + 32]
+            before = [lm_attention.ROWS if begin + k == 0 else shape.embedded[text[begin + k - 1]] for k in range(len(piece))]
+            x = w["emb"][before] + w["pos"][: len(piece)]
+            for k in range(done - begin, len(piece)):
+                scores = np.exp([x[k] @ w["q"] @ (x[j] @ w["k"]) for j in range(k + 1)])
+                h = x[k] + (sum(a * (x[j] @ w["v"]) for j, a in enumerate(scores)) / scores.sum()) @ w["o"]
+                z = h @ w["out"] + w["bias"]
+                i = piece[k]
+                last = 499 if begin + k == 0 else text[begin + k - 1]
+                total += (z[shape.classes[i]] - np.log(np.exp(z).sum())) / np.log(10) + model.after[shape.classes[last], shape.embedded[i]] + model.inner[i]
+            done = begin + len(piece)
+            begin += 24
+        want.append(total)
+        at += n
+    assert np.allclose(lm_attention.score_ids(model, ids, sizes), want, rtol=1e-4)
+
+
 def test_lm_windows_score_each_id_once():
     sizes = np.array([1, 5, 24, 25, 44, 45, 200])
     row, begin, length, skip = lm_attention.windows(sizes)
@@ -454,13 +616,11 @@ def test_lm_is_a_distribution_and_causal():
 
 
 def test_lm_learns_context_on_held_out_text(spark):
-    docs = ta.table(spark, "/root/testdata/sf0.01", "documents").select("text")
-    texts = pa.array([r.text for r in docs.collect()])
-    path = lm_attention.vocabulary_path(lm_attention.VOCABULARY)
-    ids, sizes = lm_attention.sample_streams(texts.slice(0, 500), path)
+    texts = [(r.doc_id, r.text) for r in ta.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    ids, sizes = streams(spark, texts[:500])
     shape = lm_attention.layout(np.bincount(ids, minlength=50257).astype(float))
     weights = lm_attention.fit_weights(shape, ids, sizes)
-    held, held_sizes = lm_attention.sample_streams(texts.slice(500), path)
+    held, held_sizes = streams(spark, texts[500:])
     flat = lm_attention.Model(shape, np.zeros((lm_attention.CLASSES, lm_attention.ROWS)), np.zeros(50257), weights)
     attention = lm_attention.score_ids(flat, held, held_sizes).sum()
     share = (np.bincount(shape.classes[ids], minlength=lm_attention.CLASSES) + 1.0) / (len(ids) + lm_attention.CLASSES)
