@@ -76,3 +76,23 @@ def test_values_of_odd_rows(spark, odd):
     scores = [r.score for r in run("op6_toxicity")]
     assert all(0 <= s <= 1 for s in scores)
     assert {r.doc_id: r.n_tokens for r in run("op4_lm_attention") if r.doc_id in (1, 5)} == {1: 1, 5: 60001}
+
+
+def test_pipeline_keeps_values_of_clashing_columns(spark, tmp_path_factory):
+    w = [f"w{i}" for i in range(60)]
+    text, near, other = (" ".join(x) for x in (w, ["x", *w[1:]], [f"v{i}" for i in range(60)]))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, ids string, n_tokens string"
+    rows = [(i, t, "en", "s", 1, float(-i), f"l{i}", f"i{i}", f"n{i}") for i, t in ((1, text), (1, other), (2, near))]
+    sf = str(tmp_path_factory.mktemp("clash"))
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], SCHEMAS["labels"]).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(5, other)], SCHEMAS["benchmark"]).write.parquet(f"{sf}/benchmark.parquet")
+    docs = ta.table(spark, sf, "documents")
+    kept = []
+    for name, stage in cp.STAGES:
+        docs = ta.cut(stage(spark, docs, sf), name)
+        kept.append(sorted((r.doc_id, r.text == text, r.score, r.lang_pred, r.ids, r.n_tokens) for r in docs.collect()))
+    one, two, three = (1, True, -1.0, "l1", "i1", "n1"), (1, False, -1.0, "l1", "i1", "n1"), (2, False, -2.0, "l2", "i2", "n2")
+    # the near copy goes, the other text of the same id stays until the benchmark takes it
+    assert kept == [[two, one, three], [two, one, three], [two, one], [one], [one]]
+    assert {"ids_", "n_tokens_", "round_trip"} <= set(docs.columns)
