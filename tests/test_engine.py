@@ -369,9 +369,9 @@ def test_power_without_generators(spark):
 
 
 def test_lattice_buckets_and_components_of_chains(spark):
-    chain = edges(spark, *[(i, i + 1, 2) for i in range(40)], (0, 39, 100), (39, 0, 1))
+    chain = edges(spark, *[(i, i + 1, 2) for i in range(10)], (0, 9, 100), (9, 0, 1))
     start = spark.createDataFrame([(0,)], "node long")
-    want = [(i, 2 * i) for i in range(41)]
+    want = [(i, 2 * i) for i in range(11)]
     assert sorted(rows(G.shortest_paths(chain, start))) == want == sorted(rows(G.shortest_paths(chain, start, bucket=10)))
     apart = edges(spark, *[(i, i + 1) for i in range(60)], (100, 101), (7, 7), (200, 200))
     assert sorted(rows(G.components(apart))) == [(i, 0) for i in range(61)] + [(100, 100), (101, 100), (200, 200)]

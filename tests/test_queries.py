@@ -8,7 +8,7 @@ from ferrule.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"rule_program_visit", "rule_program_consume", "minimax_open_board", "tree_lookup", "priority_bucket_sssp", "program_priorities", "program_kept_facts"}
+SLOW = {"rule_program_visit", "rule_program_consume", "minimax_open_board", "tree_lookup", "priority_bucket_sssp", "program_priorities", "program_placement", "program_thread_tokens", "program_min_selector"}
 
 
 @pytest.fixture(scope="module")
