@@ -146,7 +146,7 @@ def minimax_open_board(spark, d):
 
 @query(f"with recursive {EDGES}, r as (select min(p_partkey) as node from part union select e.dst from r join e on e.node = r.node where e.w > 45) select node from r")
 def rule_program_visit(spark, d):
-    """A two-rule program: visit facts are used up, visited facts stay, visits go along heavy edges."""
+    """A program of two persistent rules: visits spread along heavy edges until nothing is new."""
     t = Tables(spark, d)
     p = Program(spark).persistent("edge", "node long, dst long").persistent("visited", "node long").persistent("seed", "node long")
     p.rule([Atom("seed", ("A",))], [Head("visited", ("A",))])
@@ -170,14 +170,18 @@ def rule_program_consume(spark, d):
     return users.join(paid, "node", "left").join(rest, "node", "left").select("node", F.coalesce("paid", F.lit(0)).alias("paid"), F.coalesce("unpaid", F.lit(0)).alias("unpaid"))
 
 
-@query("select c_custkey as consumer from customer")
+@query("select c_custkey as consumer, true as within from customer")
 def power_grid_served(spark, d):
-    """All consumers find a generator with room when the generators have enough of it."""
+    """All consumers find a generator, and no generator bears more than it has room for."""
     t = Tables(spark, d)
     total = t.customer.count() * 100
     n = max(1, t.supplier.count())
     generators = t.supplier.select(F.col("s_suppkey").alias("generator"), F.lit(total // n * 3 + 100).alias("total"))
-    return Q.share_power(generators, t.customer.select(F.col("c_custkey").alias("consumer"), (F.col("c_custkey") % 100 + 1).alias("power"))).select("consumer")
+    demands = t.customer.select(F.col("c_custkey").alias("consumer"), (F.col("c_custkey") % 100 + 1).alias("power"))
+    placed = Q.share_power(generators, demands)
+    loads = placed.join(demands, "consumer").groupBy("generator").agg(F.sum("power").alias("load"))
+    borne = loads.join(generators, "generator").select("generator", (F.col("load") <= F.col("total")).alias("within"))
+    return placed.join(borne, "generator").select("consumer", "within")
 
 
 @query("select o_orderkey as key, o_totalprice as value from orders")

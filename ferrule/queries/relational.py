@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..operators import aggregates as A
 from ..operators import match as M
 from ..plans import relation as R
+from ..plans.rules import Atom, Head, Program
 from ..sources import graphs as S
 from ..sources import sinks
 from .base import SUCCESSION, Tables, query, succession
@@ -122,10 +123,12 @@ def linear_consume_rest(spark, d):
 @query("""select c_nationkey as node, c_custkey, (select count(*) from supplier where s_nationkey = c_nationkey) as n
 from customer where exists (select 1 from supplier where s_nationkey = c_nationkey)""")
 def linear_keep(spark, d):
-    """Kept facts stay for every other match."""
+    """$supply(A, S), asks(A, C) -o met(A, C): customers are used up, suppliers stay for every one of them."""
     t = Tables(spark, d)
-    kept = t.supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.count("*").alias("n"))
-    return t.customer.select(F.col("c_nationkey").alias("node"), "c_custkey").join(kept, "node")
+    p = Program(spark).linear("supply", "node int, s long").linear("asks", "node int, c_custkey long").linear("met", "node int, c_custkey long")
+    p.rule([Atom("supply", ("A", "S"), keep=True), Atom("asks", ("A", "C"))], [Head("met", ("A", "C"))])
+    out = p.run({"supply": t.supplier.select("s_nationkey", "s_suppkey"), "asks": t.customer.select("c_nationkey", "c_custkey")})
+    return out["met"].join(out["supply"].groupBy("node").agg(F.count("*").alias("n")), "node")
 
 
 @query("""select c_custkey as node, coalesce(p, c_acctbal) as balance from customer left join
@@ -230,9 +233,14 @@ def comprehension_scatter(spark, d):
 
 @query("select user_id as node, list(event_id order by event_id) as used, count(*) as n from events where event_type = 'click' group by 1")
 def comprehension_consume(spark, d):
-    """All matching linear facts are used at once."""
-    e = R.linear(Tables(spark, d).events.where("event_type = 'click'").select(F.col("user_id").alias("node"), "event_id"))
-    return e.groupBy("node").agg(F.sort_array(F.collect_list("event_id")).alias("used"), F.count("*").alias("n"))
+    """go(A) -o {X | click(A, X) | taken(A, X)}: one firing uses up all clicks of a user; those left over would count against n."""
+    e = Tables(spark, d).events.where("event_type = 'click'").select(F.col("user_id").alias("node"), "event_id")
+    p = Program(spark).linear("go", "node long").linear("click", "node long, x long").linear("taken", "node long, x long")
+    p.rule([Atom("go", ("A",))], [Head("taken", ("A", "X"), over=(Atom("click", ("A", "X")),))])
+    out = p.run({"go": e.select("node").distinct(), "click": e})
+    left = out["click"].groupBy("node").agg(F.count("*").alias("left"))
+    taken = out["taken"].groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("used"), F.count("*").alias("n"))
+    return taken.join(left, "node", "left").select("node", "used", (F.col("n") - F.coalesce("left", F.lit(0))).alias("n"))
 
 
 @query(f"select node, dst, w from (select *, row_number() over (partition by node order by w, dst) as rn from ({SUCCESSION}) e) t where rn = 1")
