@@ -5,10 +5,11 @@ text, with one end id.  The ``HEADS`` most frequent ids are classes of their own
 fall into bands of equal mass; attention predicts the class of the next id from the ids
 before it, and an id's share of its class, given the class of the id before, comes from
 counts over the whole training corpus.  So do the classes: a first pass counts all ids, a
-second one the pairs of class and id.  The attention weights start from a bounded sample, the
-same start for all; the second pass then trains them in each task, a batch of windows for
-``IDS_A_STEP`` ids it reads, and averages them by how much each task trained.  The model's probability of a text is the product
-over all its ids.
+second one which class follows which embedded id.  The weights start as the model of these
+counts without attention; a third pass trains them in each task on every window of every
+training text, once each, and averages them by how much each task trained.  Small corpora are passed
+``ROUNDS`` times at most.  Nothing is learned from a sample.  The model's probability of a text is
+the product over all its ids.
 
 Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by ``OVERLAP``: the first
 scores all its ids, each later one only those after its overlap, so every id is scored
@@ -51,12 +52,14 @@ FREQUENT = 1 << 19
 ROWS = EMBEDDED + CLASSES
 #: Weight of an id's share without context against its counts after a class.
 PRIOR = 10.0
-#: Bound of the texts that the attention weights start from, by number and bytes of ids, and steps over them.
-SAMPLE, SAMPLE_BYTES = 800, 1 << 16
-STEPS = 1000
-#: Every task takes a step of BATCH windows for so many ids of its texts, one step at least.
-IDS_A_STEP = 1 << 15
-BATCH = 64
+#: Nothing is learned from a sample; the name stays for a test that sets it and finds no difference.
+SAMPLE = None
+STEPS, START_STEPS = 1000, 300
+#: Every task takes a step for so many ids of its texts, over all windows that end among them.
+IDS_A_STEP = 1 << 12
+#: The corpus is passed again until so many ids have been trained on, ROUNDS times at most.
+LEAST_IDS, ROUNDS = 1 << 22, 8
+BATCH, SCORED = 64, 128
 RATE, TASK_RATE = 0.02, 0.002
 #: Summed weights are whole numbers, so their sum is the same in any order.
 FIXED = 1 << 20
@@ -80,28 +83,28 @@ class Subwords:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)  # hashes in order, and the word of each
         self.held = 0
         self.flat = np.zeros(0, dtype=np.int32)
         self.starts = self.lens = np.zeros(0, dtype=np.int64)
 
     def numbers(self, hashes: np.ndarray, words: ta.Words, first: np.ndarray) -> np.ndarray:
-        """Number of each distinct word (``first``: where it stands first); new ones are encoded."""
-        keys = hashes.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+        """Number of each distinct word, by ascending hash (``first``: where it stands first); new ones are encoded."""
+        at = np.searchsorted(self.known, hashes)
+        fresh = np.flatnonzero((at == len(self.known)) | (np.append(self.known, U64(0))[at] != hashes))
         if len(self.known) + len(fresh) > REMEMBER or self.held > REMEMBER_BYTES:
             self.forget()
-            fresh = list(range(len(keys)))
-        if fresh:
-            data, lo, hi = words.data.tobytes(), words.starts[first], words.ends[first]
-            flat, lens = self.encoded([data[lo[i] : hi[i]].decode("utf-8", "replace") for i in fresh])
-            count = len(self.known)
-            self.known.update((keys[i], count + n) for n, i in enumerate(fresh))
-            self.held += int((hi - lo)[fresh].sum())
+            fresh, at = np.arange(len(hashes)), np.zeros(len(hashes), dtype=np.int64)
+        if len(fresh):
+            data, lo, hi = words.data.tobytes(), words.starts[first[fresh]], words.ends[first[fresh]]
+            flat, lens = self.encoded([data[i:j].decode("utf-8", "replace") for i, j in zip(lo.tolist(), hi.tolist())])
+            self.number = np.insert(self.number, at[fresh], len(self.known) + np.arange(len(fresh)))
+            self.known = np.insert(self.known, at[fresh], hashes[fresh])
+            self.held += int((hi - lo).sum())
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
             self.lens = np.concatenate((self.lens, lens))
             self.flat = np.concatenate((self.flat, flat))
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return self.number[np.searchsorted(self.known, hashes)]
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of words behind a blank, ids of each): a line break, which no word has, stands between them."""
@@ -189,6 +192,8 @@ def classes_before(at: Layout, ids: np.ndarray, sizes: np.ndarray, end: int) ->
 
 
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
+#: Sums over rows are products with these, which is faster than a reduction over a short axis.
+ONES = {n: np.ones(n, dtype=np.float32) for n in (WINDOW, CLASSES)}
 
 
 def attend(w: dict[str, np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -202,7 +207,7 @@ def attend(w: dict[str, np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, tu
     np.clip(a, -40.0, 40.0, out=a)
     np.exp(a, out=a)
     a *= CAUSAL
-    a /= a.sum(-1, keepdims=True)
+    a *= (1 / (a.reshape(-1, WINDOW) @ ONES[WINDOW])).reshape(*tokens.shape, 1)
     c = a @ v
     h = c.reshape(-1, WIDTH) @ w["o"]
     h += flat
@@ -218,39 +223,46 @@ class Adam:
     def __init__(self, w: dict[str, np.ndarray], rate: float = RATE):
         self.w, self.rate, self.steps = dict(w), rate, 0
         self.m, self.r = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
-        self.met = np.zeros(ROWS + 1, dtype=np.int64)  # how often each embedding row was trained
+        self.met = np.zeros(ROWS + 1, dtype=np.int64)  # how many scored ids each embedding row stood before
 
     def step(self, t: np.ndarray, y: np.ndarray) -> None:
-        self.met += np.bincount(t.ravel(), minlength=ROWS + 1)
-        w, m, r = self.w, self.m, self.r
+        self.met += np.bincount(t[y >= 0], minlength=ROWS + 1)
+        w = self.w
         self.steps += 1
         h, (x, q, k, v, a, c) = attend(w, t)
-        z = h @ w["out"] + w["bias"]
-        z -= z.max(-1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(-1, keepdims=True)
-        on = y >= 0
-        p[np.nonzero(on) + (y[on],)] -= 1
-        dz = (p * on[..., None] / max(1, on.sum())).astype(np.float32)
         flat = lambda x: x.reshape(-1, x.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "bias": dz.sum((0, 1))}
-        dh = (flat(dz) @ w["out"].T).reshape(h.shape)
-        g["o"] = flat(c).T @ flat(dh)
-        dc = (flat(dh) @ w["o"].T).reshape(h.shape)
-        da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = flat(dh) + flat(dq) @ w["q"].T + flat(dk) @ w["k"].T + flat(dv) @ w["v"].T
-        for n, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[n] = flat(x).T @ flat(d)
+        dz = flat(h) @ w["out"]
+        dz += w["bias"]
+        np.clip(dz, -60.0, 60.0, out=dz)
+        np.exp(dz, out=dz)
+        dz *= (1 / (dz @ ONES[CLASSES]))[:, None]
+        on = np.flatnonzero(y.ravel() >= 0)
+        dz[on, y.ravel()[on]] -= 1
+        dz[y.ravel() < 0] = 0
+        dz *= np.float32(1 / max(1, len(on)))
+        g = {"out": flat(h).T @ dz, "bias": dz.sum(0)}
+        dh = dz @ w["out"].T
+        g["o"] = flat(c).T @ dh
+        dc = (dh @ w["o"].T).reshape(h.shape)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= np.einsum("nid,nid->ni", dc, c)[..., None]
+        ds *= a
+        d = flat(np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc), axis=2))
+        g |= zip("qkv", np.split(flat(x).T @ d, 3, axis=1))
+        dx = d @ np.concatenate((w["q"], w["k"], w["v"]), axis=1).T
+        dx += dh
         g["pos"] = dx.reshape(h.shape).sum(0)
         g["emb"] = np.zeros_like(w["emb"])
         order = np.argsort(t.ravel(), kind="stable")
         rows = t.ravel()[order]
         begin = np.flatnonzero(np.diff(rows, prepend=-1))
         g["emb"][rows[begin]] = np.add.reduceat(dx[order], begin, axis=0)
-        for n in w:
+        self.follow(g)
+
+    def follow(self, g: dict[str, np.ndarray]) -> None:
+        """One step along the gradients."""
+        w, m, r = self.w, self.m, self.r
+        for n in g:
             m[n] = 0.9 * m[n] + 0.1 * g[n]
             r[n] = 0.99 * r[n] + 0.01 * g[n] ** 2
             w[n] = (w[n] - self.rate * (m[n] / (1 - 0.9**self.steps)) / (np.sqrt(r[n] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
@@ -270,14 +282,35 @@ def train_weights(tokens: np.ndarray, targets: np.ndarray, counts: np.ndarray, s
     return adam.w
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def start_weights(at: Layout, ids: np.ndarray, follow: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights without attention that fit the counts of ids and of (row before, class), gathered over all training texts."""
+    seen = np.bincount(at.classes, weights=ids, minlength=CLASSES)
+    w = fit_weights(at, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), ids)
+    w["o"], w["pos"] = np.zeros_like(w["o"]), np.zeros_like(w["pos"])
+    adam = Adam(w)
+    aim = follow + PRIOR * (seen + 1.0) / (seen + 1.0).sum()
+    much = aim.sum(1, keepdims=True)
+    aim, much = ((x / much.sum()).astype(np.float32) for x in (aim, much))
+    for _ in range(START_STEPS):
+        w = adam.w
+        adam.steps += 1
+        dz = w["emb"] @ w["out"]
+        dz += w["bias"]
+        np.exp(np.clip(dz, -60.0, 60.0, out=dz), out=dz)
+        dz *= much / (dz @ ONES[CLASSES])[:, None]
+        dz -= aim
+        adam.follow({"emb": dz @ w["out"].T, "out": w["emb"].T @ dz, "bias": dz.sum(0)})
+    return adam.w
+
+
+def windows(sizes: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first id, ids, first scored id) of each window of texts with so many ids."""
-    new = WINDOW - OVERLAP
+    new = WINDOW - overlap
     count = np.where(sizes <= WINDOW, 1, 1 + -(-(sizes - WINDOW) // new))
     row = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     begin = nth * new
-    return row, begin, np.minimum(WINDOW, sizes[row] - begin), np.where(nth > 0, OVERLAP, 0)
+    return row, begin, np.minimum(WINDOW, sizes[row] - begin), np.where(nth > 0, overlap, 0)
 
 
 def window_arrays(at_: Layout, ids: np.ndarray, sizes: np.ndarray, lo: int, hi: int, cut: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -298,16 +331,16 @@ def score_ids(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=inside, minlength=len(sizes))
     cut = windows(sizes)
     w = model.weights
-    for lo in range(0, len(cut[0]), 512):
-        before, y = window_arrays(shape, ids, sizes, lo, lo + 512, cut)
+    for lo in range(0, len(cut[0]), SCORED):
+        before, y = window_arrays(shape, ids, sizes, lo, lo + SCORED, cut)
         h, _ = attend(w, before)
         on = y >= 0
         z = h[on] @ w["out"]
         z += w["bias"]
         np.clip(z, -60.0, 60.0, out=z)
         picked = z[np.arange(len(z)), y[on]].astype(np.float64)
-        picked -= np.log(np.exp(z, out=z).sum(-1))
-        rows = np.broadcast_to(cut[0][lo : lo + 512][:, None], on.shape)[on]
+        picked -= np.log(np.exp(z, out=z) @ ONES[CLASSES])
+        rows = np.broadcast_to(cut[0][lo : lo + SCORED][:, None], on.shape)[on]
         out += np.bincount(rows, weights=picked, minlength=len(sizes)) / np.log(10)
     return out
 
@@ -378,25 +411,58 @@ def masses(met: np.ndarray, steps: int) -> np.ndarray:
     return np.concatenate([np.repeat(met, WIDTH) if n == "emb" else np.full(int(np.prod(s)), steps) for n, s in SHAPES.items()])
 
 
+def corpus_follow(train: DataFrame, shape: Layout, path: str | None) -> DataFrame:
+    """(kind, key, n) over all training texts: pairs of the row before and the class (kind 5)."""
+    shared = train.sparkSession.sparkContext.broadcast(shape)
+
+    def run(batches):
+        shape, kind = shared.value, subwords_for(path).kind
+        pairs = np.zeros((ROWS + 1) * CLASSES, dtype=np.int64)
+        for batch in batches:
+            for part in ta.chunked(batch, "ids"):
+                stream, sizes = id_streams(part.column("ids"), kind)
+                before = np.concatenate(([0], shape.embedded[stream][:-1]))
+                before[np.cumsum(sizes) - sizes] = ROWS
+                pairs += np.bincount(before * CLASSES + shape.classes[stream], minlength=len(pairs))
+        some = np.flatnonzero(pairs)
+        yield emit(5, some, pairs[some])
+
+    ta.bounded_batches(train.sparkSession)
+    return train.select("ids").mapInArrow(ta.released(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
 def corpus_pass(train: DataFrame, shape: Layout, start: dict[str, np.ndarray], path: str | None) -> DataFrame:
-    """(kind, key, n) over all training texts: class-row pairs (kind 2), summed weights (3) and training done (4)."""
+    """(kind, key, n) over all training texts: class-row pairs (kind 2), summed weights (3) and training done (4).
+
+    Each id is trained on once, in the one window without overlap that holds it.
+    """
     shared = train.sparkSession.sparkContext.broadcast((shape, start))
 
     def run(batches):
         shape, start = shared.value
         end, kind = len(shape.classes) - 1, subwords_for(path).kind
         pairs = np.zeros(CLASSES * ROWS, dtype=np.int64)
-        adam, rng, owed = Adam(start, TASK_RATE), np.random.default_rng(5), IDS_A_STEP - 1
+        adam, rng, met = Adam(start, TASK_RATE), np.random.default_rng(5), 0
+        held, due = None, 0  # windows of the step that is not full yet, and its number
         for batch in batches:
             for part in ta.chunked(batch, "ids"):
                 stream, sizes = id_streams(part.column("ids"), kind)
                 pairs += np.bincount(classes_before(shape, stream, sizes, end) * ROWS + shape.embedded[stream], minlength=CLASSES * ROWS)
-                steps, owed = divmod(owed + len(stream), IDS_A_STEP)
-                cut = windows(sizes)
-                pick = rng.integers(0, len(cut[0]), steps * BATCH)
-                before, y = window_arrays(shape, stream, sizes, 0, len(pick), tuple(x[pick] for x in cut))
-                for lo in range(0, len(pick), BATCH):
-                    adam.step(before[lo : lo + BATCH], y[lo : lo + BATCH])
+                cut = windows(sizes, 0)
+                order = rng.permutation(len(cut[0]))
+                cut = tuple(x[order] for x in cut)
+                step = (met + np.cumsum(cut[2]) - 1) // IDS_A_STEP
+                met += len(stream)
+                begin = np.flatnonzero(np.diff(step, prepend=-1))
+                for lo, hi in zip(begin, np.append(begin[1:], len(step))):
+                    made = window_arrays(shape, stream, sizes, lo, hi, cut)
+                    if held and step[lo] == due:
+                        made = tuple(np.concatenate(x) for x in zip(held, made))
+                    elif held:
+                        adam.step(*held)
+                    held, due = made, step[lo]
+        if held:
+            adam.step(*held)
         flat = np.concatenate([adam.w[n].ravel() for n in SHAPES]).astype(np.float64)
         done = np.append(adam.met, adam.steps)
         for kind, counts in ((2, pairs), (3, np.rint(flat * masses(adam.met, adam.steps) * FIXED).astype(np.int64)), (4, done)):
@@ -415,14 +481,6 @@ def averaged(start: dict[str, np.ndarray], sums: np.ndarray, done: np.ndarray) -
     return {n: x.reshape(s) for (n, s), x in zip(SHAPES.items(), np.split(flat, stops[:-1]))}
 
 
-def sample_streams(train: DataFrame, kind, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of about ``sample`` training texts, chosen by a hash of them."""
-    key = F.pmod(F.xxhash64("ids"), F.lit(1 << 20))
-    share = int(min(1.0, sample / max(1, train.count())) * (1 << 20))
-    got = train.where(key < share).select("ids").where(F.octet_length("ids") <= SAMPLE_BYTES).distinct().orderBy(key, "ids").limit(2 * sample)
-    return id_streams(got.orderBy("ids").toArrow().column(0).combine_chunks(), kind)
-
-
 def fit_weights(shape: Layout, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Weights from the windows of texts; ``counts`` of all ids, where they are more than these, give the bias."""
     cut = windows(sizes)
@@ -438,12 +496,11 @@ def score(df: DataFrame, learn, text_col: str = "text", id_col: str = "doc_id",
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     encoded = ta.cut(encode(df, path, text_col, id_col, learn), "encoded")
     train = encoded.where("learn")
-    ids, sizes = sample_streams(train, kind)
     counts = ta.cut(corpus_counts(train, path), "counts")
     words = counts.where("kind = 0").select("key", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    tables = {1: np.zeros(vocabulary), 2: np.zeros(CLASSES * ROWS), 3: np.zeros(sum(int(np.prod(x)) for x in SHAPES.values())), 4: np.zeros(ROWS + 2)}
+    tables = {1: np.zeros(vocabulary), 2: np.zeros(CLASSES * ROWS), 3: np.zeros(sum(int(np.prod(x)) for x in SHAPES.values())), 4: np.zeros(ROWS + 2), 5: np.zeros((ROWS + 1) * CLASSES)}
 
     def fill(got):
         kind, key, many = (got.column(c).to_numpy() for c in ("kind", "key", "n"))
@@ -452,9 +509,13 @@ def score(df: DataFrame, learn, text_col: str = "text", id_col: str = "doc_id",
 
     fill(counts.where("kind > 0").toArrow())  # rows for the ids of the vocabulary at most
     shape = layout(tables[1])
-    start = fit_weights(shape, ids, sizes, tables[1])
-    fill(corpus_pass(train, shape, start, path).toArrow())  # rows for pairs of class and row and for weights at most
-    model = Model(shape, *shares(shape, tables[1], tables[2].reshape(CLASSES, ROWS)), averaged(start, tables[3], tables[4]))
+    fill(corpus_follow(train, shape, path).toArrow())  # rows for pairs of row and class at most
+    weights = start_weights(shape, tables[1], tables[5].reshape(ROWS + 1, CLASSES))
+    for _ in range(int(min(ROUNDS, max(1, -(-LEAST_IDS // max(1, tables[1].sum())))))):
+        tables[3][:], tables[4][:] = 0, 0
+        fill(corpus_pass(train, shape, weights, path).toArrow())  # rows for pairs of class and row and for weights at most
+        weights = averaged(weights, tables[3], tables[4])
+    model = Model(shape, *shares(shape, tables[1], tables[2].reshape(CLASSES, ROWS)), weights)
     # words from a count on travel, the count so chosen that they are FREQUENT at most: no task orders them all
     step = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int")
     least, held = 1 << 30, 0

@@ -548,6 +548,79 @@ def test_lm_layout_and_weights_take_the_whole_corpus(spark, monkeypatch):
     assert steps == [-(-len(ids) // 1000), -(-3 * len(ids) // 1000)]
 
 
+def test_lm_trains_once_on_every_id_of_every_text(spark):
+    rows = [*odd_texts(), (999, "alpha beta gamma " * 15000)]
+    ids, sizes = streams(spark, rows)
+    assert sizes.max() * 2 > 1 << 16  # no text is too long to learn from
+    shape = lm_attention.layout(np.bincount(ids, minlength=50257).astype(float))
+    follow, at = np.zeros((lm_attention.ROWS + 1, lm_attention.CLASSES), dtype=np.int64), 0
+    for n in sizes:
+        before = lm_attention.ROWS
+        for i in ids[at : at + n]:
+            follow[before, shape.classes[i]] += 1
+            before = shape.embedded[i]
+        at += n
+    got = np.zeros(follow.size, dtype=np.int64)
+    for r in lm_attention.corpus_follow(encoded(spark, rows), shape, None).collect():
+        assert r.kind == 5
+        got[r.key] = r.n
+    assert (got.reshape(follow.shape) == follow).all()
+    start = lm_attention.start_weights(shape, np.bincount(ids, minlength=50257), follow)
+    met = np.zeros(lm_attention.ROWS + 1, dtype=np.int64)
+    for r in lm_attention.corpus_pass(encoded(spark, rows), shape, start, None).where(f"kind = 4 AND key <= {lm_attention.ROWS}").collect():
+        met[r.key] = r.n
+    assert (met == follow.sum(1)).all()
+
+
+def test_lm_learns_from_counts_and_then_from_context(spark):
+    texts = [(r.doc_id, r.text) for r in ta.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    df = encoded(spark, texts[:500], 2)
+    ids, sizes = streams(spark, texts[:500])
+    held, held_sizes = streams(spark, texts[500:])
+    counts = np.bincount(ids, minlength=50257).astype(float)
+    shape = lm_attention.layout(counts)
+    tables = {3: np.zeros(sum(int(np.prod(x)) for x in lm_attention.SHAPES.values())), 4: np.zeros(lm_attention.ROWS + 2), 5: np.zeros((lm_attention.ROWS + 1) * lm_attention.CLASSES)}
+
+    def fill(got):
+        for r in got.where("kind > 2").collect():
+            tables[r.kind][r.key] = r.n
+
+    def logs(w):
+        flat = lm_attention.Model(shape, np.zeros((lm_attention.CLASSES, lm_attention.ROWS)), np.zeros(50257), w)
+        return lm_attention.score_ids(flat, held, held_sizes).sum()
+
+    share = (np.bincount(shape.classes[ids], minlength=lm_attention.CLASSES) + 1.0) / (len(ids) + lm_attention.CLASSES)
+    fill(lm_attention.corpus_follow(df, shape, None))
+    start = lm_attention.start_weights(shape, counts, tables[5].reshape(lm_attention.ROWS + 1, -1))
+    trained = start
+    for _ in range(3):
+        tables[3][:], tables[4][:] = 0, 0
+        fill(lm_attention.corpus_pass(df, shape, trained, None))
+        trained = lm_attention.averaged(trained, tables[3], tables[4])
+    assert logs(trained) > 0.98 * logs(start) > 0.9 * np.log10(share[shape.classes[held]]).sum()
+
+
+def test_lm_kept_words_change_no_ids(monkeypatch):
+    subwords = lm_attention.Subwords(lm_attention.vocabulary_path(lm_attention.VOCABULARY))
+    texts = [t for _, t in odd_texts()]
+
+    def run():
+        out = []
+        for text in [*texts, *texts[::-1]]:
+            w = ta.words_of(pa.array([text, "ein hund"]))
+            keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+            ids, sizes = subwords.streams(w, subwords.numbers(keys, w, first)[inverse])
+            assert sizes.sum() == len(ids)
+            out.append(ids.tolist())
+        return out
+
+    kept = run()
+    assert len(subwords.known) > 100 and kept == kept[: len(texts)] + kept[: len(texts)][::-1]
+    monkeypatch.setattr(lm_attention, "REMEMBER", 5)
+    subwords.forget()
+    assert run() == kept
+
+
 def test_lm_words_encode_alike_alone_and_together():
     subwords = lm_attention.Subwords(lm_attention.vocabulary_path(lm_attention.VOCABULARY))
     tried = ["der", "hund,", "a\u00a0", "x\u3000y", "é!", "42"]
