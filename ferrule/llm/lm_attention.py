@@ -191,27 +191,53 @@ def classes_before(at: Layout, ids: np.ndarray, sizes: np.ndarray, end: int) ->
     return before
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over windows of the products of their rows."""
+    return (a.transpose(0, 2, 1) @ b).sum(0)
+
+
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 #: Sums over rows are products with these, which is faster than a reduction over a short axis.
-ONES = {n: np.ones(n, dtype=np.float32) for n in (WINDOW, CLASSES)}
+ONES = {n: np.ones(n, dtype=np.float32) for n in (1, WINDOW, CLASSES)}
+
+
+def exponents(z: np.ndarray, bound: float, most: np.floating) -> None:
+    """exp in place; beyond the bound values are clipped, which is left out where ``most`` says that none can be there."""
+    if not most <= bound:
+        np.clip(z, -bound, bound, out=z)
+    np.exp(z, out=z)
+
 
+def longest(x: np.ndarray) -> np.floating:
+    """Length of the longest vector along the last axis."""
+    return np.sqrt(np.einsum("...d,...d->...", x, x).max(initial=0))
 
-def attend(w: dict[str, np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden states of windows of embedding rows; masked causal attention with a residual."""
-    x = w["emb"][tokens]
+
+def attend(w: dict[str, np.ndarray], tokens: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
+    """Hidden states of windows of embedding rows, without the first ``skip`` of each; masked causal attention with a residual."""
+    x = w["emb"].take(tokens, axis=0)
     x += w["pos"]
-    flat = x.reshape(-1, WIDTH)  # one product for all windows, not one for each
-    qkv = (flat @ np.concatenate((w["q"], w["k"], w["v"]), axis=1)).reshape(*tokens.shape, 3 * WIDTH)
-    q, k, v = (np.ascontiguousarray(qkv[..., i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+    # one product for all windows, not one for each
+    qkv = (x.reshape(-1, WIDTH) @ np.concatenate((w["q"], w["k"], w["v"]), axis=1)).reshape(*tokens.shape, 3 * WIDTH)
+    q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    q = q[:, skip:]
     a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -40.0, 40.0, out=a)
-    np.exp(a, out=a)
-    a *= CAUSAL
-    a *= (1 / (a.reshape(-1, WINDOW) @ ONES[WINDOW])).reshape(*tokens.shape, 1)
+    exponents(a, 40.0, longest(q) * longest(k))
+    a *= CAUSAL[skip:]
+    share = (1 / (a.reshape(-1, WINDOW) @ ONES[WINDOW])).reshape(*q.shape[:2], 1)
     c = a @ v
-    h = c.reshape(-1, WIDTH) @ w["o"]
-    h += flat
-    return h.reshape(x.shape), (x, q, k, v, a, c)
+    c *= share
+    h = (c.reshape(-1, WIDTH) @ w["o"]).reshape(c.shape)
+    h += x[:, skip:]
+    return h, (x, q, k, v, a, share, c)
+
+
+def class_exponents(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hidden states with a one behind each, exp of their classes' logits, sums of these)."""
+    more = np.column_stack((h, ONES[1].repeat(len(h))))
+    z = more @ np.vstack((w["out"], w["bias"]))
+    exponents(z, 60.0, longest(h) * longest(w["out"].T) + np.abs(w["bias"]).max())
+    return more, z, z @ ONES[CLASSES]
 
 
 SHAPES = {"emb": (ROWS + 1, WIDTH), "pos": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
@@ -229,43 +255,49 @@ class Adam:
         self.met += np.bincount(t[y >= 0], minlength=ROWS + 1)
         w = self.w
         self.steps += 1
-        h, (x, q, k, v, a, c) = attend(w, t)
+        h, (x, q, k, v, a, share, c) = attend(w, t)
         flat = lambda x: x.reshape(-1, x.shape[-1])
-        dz = flat(h) @ w["out"]
-        dz += w["bias"]
-        np.clip(dz, -60.0, 60.0, out=dz)
-        np.exp(dz, out=dz)
-        dz *= (1 / (dz @ ONES[CLASSES]))[:, None]
-        on = np.flatnonzero(y.ravel() >= 0)
-        dz[on, y.ravel()[on]] -= 1
-        dz[y.ravel() < 0] = 0
-        dz *= np.float32(1 / max(1, len(on)))
-        g = {"out": flat(h).T @ dz, "bias": dz.sum(0)}
-        dh = dz @ w["out"].T
-        g["o"] = flat(c).T @ dh
+        y = y.ravel()
+        on = np.flatnonzero(y >= 0)
+        more, e, total = class_exponents(w, flat(h))
+        # the gradient of a row of logits is e - total at its class, by 1 / total: products take it so, not a pass over all of them
+        e.ravel()[on * CLASSES + y[on]] -= total[on]
+        part = np.where(y >= 0, np.float32(1 / max(1, len(on))) / total, np.float32(0))[:, None]
+        more *= part
+        both = product(more.reshape(*t.shape, -1), e.reshape(*t.shape, -1))
+        g = {"out": both[:-1], "bias": both[-1]}
+        dh = e @ w["out"].T
+        dh *= part
+        g["o"] = product(c, dh.reshape(h.shape))
         dc = (dh @ w["o"].T).reshape(h.shape)
+        dc *= share
         ds = dc @ v.transpose(0, 2, 1)
         ds -= np.einsum("nid,nid->ni", dc, c)[..., None]
         ds *= a
-        d = flat(np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc), axis=2))
-        g |= zip("qkv", np.split(flat(x).T @ d, 3, axis=1))
-        dx = d @ np.concatenate((w["q"], w["k"], w["v"]), axis=1).T
+        d = np.empty((*t.shape, 3 * WIDTH), dtype=np.float32)
+        np.matmul(ds, k, out=d[..., :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dc, out=d[..., 2 * WIDTH :])
+        g |= zip("qkv", np.split(product(x, d), 3, axis=1))
+        dx = flat(d) @ np.concatenate((w["q"], w["k"], w["v"]), axis=1).T
         dx += dh
         g["pos"] = dx.reshape(h.shape).sum(0)
-        g["emb"] = np.zeros_like(w["emb"])
-        order = np.argsort(t.ravel(), kind="stable")
-        rows = t.ravel()[order]
-        begin = np.flatnonzero(np.diff(rows, prepend=-1))
-        g["emb"][rows[begin]] = np.add.reduceat(dx[order], begin, axis=0)
+        cell = (t.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["emb"] = np.bincount(cell, weights=dx.ravel(), minlength=w["emb"].size).reshape(w["emb"].shape).astype(np.float32)
         self.follow(g)
 
     def follow(self, g: dict[str, np.ndarray]) -> None:
         """One step along the gradients."""
-        w, m, r = self.w, self.m, self.r
-        for n in g:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            r[n] = 0.99 * r[n] + 0.01 * g[n] ** 2
-            w[n] = (w[n] - self.rate * (m[n] / (1 - 0.9**self.steps)) / (np.sqrt(r[n] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        slow, fast = 1 - 0.99**self.steps, 1 - 0.9**self.steps
+        for n, d in g.items():
+            m, r = self.m[n], self.r[n]
+            m *= 0.9
+            m += 0.1 * d
+            r *= 0.99
+            r += 0.01 * d * d
+            by = np.sqrt(r / slow)
+            by += 1e-8
+            self.w[n] = self.w[n] - (self.rate / fast) * m / by
 
 
 def train_weights(tokens: np.ndarray, targets: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 3) -> dict[str, np.ndarray]:
@@ -331,17 +363,16 @@ def score_ids(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=inside, minlength=len(sizes))
     cut = windows(sizes)
     w = model.weights
-    for lo in range(0, len(cut[0]), SCORED):
-        before, y = window_arrays(shape, ids, sizes, lo, lo + SCORED, cut)
-        h, _ = attend(w, before)
-        on = y >= 0
-        z = h[on] @ w["out"]
-        z += w["bias"]
-        np.clip(z, -60.0, 60.0, out=z)
-        picked = z[np.arange(len(z)), y[on]].astype(np.float64)
-        picked -= np.log(np.exp(z, out=z) @ ONES[CLASSES])
-        rows = np.broadcast_to(cut[0][lo : lo + SCORED][:, None], on.shape)[on]
-        out += np.bincount(rows, weights=picked, minlength=len(sizes)) / np.log(10)
+    for skip in (0, OVERLAP):  # first windows score all their ids, later ones those after the overlap
+        some = np.flatnonzero(cut[3] == skip)
+        for lo in range(0, len(some), SCORED):
+            part = tuple(x[some[lo : lo + SCORED]] for x in cut)
+            before, y = window_arrays(shape, ids, sizes, 0, SCORED, part)
+            y = y[:, skip:].ravel()
+            _, e, total = class_exponents(w, attend(w, before, skip)[0].reshape(-1, WIDTH))
+            picked = np.log(e.ravel()[np.arange(len(e)) * CLASSES + np.maximum(y, 0)].astype(np.float64) / total)
+            picked[y < 0] = 0
+            out += np.bincount(part[0], weights=picked.reshape(len(part[0]), -1).sum(1), minlength=len(sizes)) / np.log(10)
     return out
 
 
@@ -511,7 +542,8 @@ def score(df: DataFrame, learn, text_col: str = "text", id_col: str = "doc_id",
     shape = layout(tables[1])
     fill(corpus_follow(train, shape, path).toArrow())  # rows for pairs of row and class at most
     weights = start_weights(shape, tables[1], tables[5].reshape(ROWS + 1, CLASSES))
-    for _ in range(int(min(ROUNDS, max(1, -(-LEAST_IDS // max(1, tables[1].sum())))))):
+    read = int(tables[1].sum())
+    for _ in range(min(ROUNDS, -(-LEAST_IDS // read)) if read else 1):
         tables[3][:], tables[4][:] = 0, 0
         fill(corpus_pass(train, shape, weights, path).toArrow())  # rows for pairs of class and row and for weights at most
         weights = averaged(weights, tables[3], tables[4])

@@ -600,6 +600,51 @@ def test_lm_learns_from_counts_and_then_from_context(spark):
     assert logs(trained) > 0.98 * logs(start) > 0.9 * np.log10(share[shape.classes[held]]).sum()
 
 
+def test_lm_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    w = {n: (rng.standard_normal(s) * 0.5).astype(np.float32) for n, s in lm_attention.SHAPES.items()}
+    t = rng.integers(0, 40, (3, lm_attention.WINDOW))
+    y = rng.integers(0, lm_attention.CLASSES, t.shape)
+    y[0, 20:], y[1, :8] = -1, -1
+
+    def loss(w):
+        x = w["emb"][t] + w["pos"]
+        a = np.exp(np.einsum("nid,njd->nij", x @ w["q"], x @ w["k"])) * np.tril(np.ones((t.shape[1],) * 2))
+        z = (x + a / a.sum(-1, keepdims=True) @ (x @ w["v"]) @ w["o"]) @ w["out"] + w["bias"]
+        p = np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0] - np.log(np.exp(z).sum(-1))
+        return -p[y >= 0].mean()
+
+    got = {}
+    adam = lm_attention.Adam(w)
+    adam.follow = got.update
+    adam.step(t, y)
+    assert sorted(got) == sorted(w)
+    assert (adam.met == np.bincount(t[y >= 0], minlength=lm_attention.ROWS + 1)).all()
+    exact = {n: x.astype(float) for n, x in w.items()}
+    for n, x in exact.items():
+        for _ in range(12):
+            at = tuple(rng.integers(0, 40 if n == "emb" and i == 0 else size) for i, size in enumerate(x.shape))
+            kept, sides = x[at], []
+            for x[at] in (kept + 1e-5, kept - 1e-5):
+                sides.append(loss(exact))
+            x[at] = kept
+            assert abs(got[n][at] - (sides[0] - sides[1]) / 2e-5) < 1e-4, (n, at)
+
+
+def test_lm_kept_words_take_little_memory():
+    import tracemalloc
+
+    subwords = lm_attention.Subwords(lm_attention.vocabulary_path(lm_attention.VOCABULARY))
+    w = ta.words_of(pa.array([" ".join(f"w{i:x}" for i in range(30000))]))
+    keys, first = np.unique(w.hashes, return_index=True)
+    tracemalloc.start()
+    try:
+        subwords.numbers(keys, w, first)
+        assert len(subwords.known) == 30000 and tracemalloc.get_traced_memory()[0] < 80 * 30000
+    finally:
+        tracemalloc.stop()
+
+
 def test_lm_kept_words_change_no_ids(monkeypatch):
     subwords = lm_attention.Subwords(lm_attention.vocabulary_path(lm_attention.VOCABULARY))
     texts = [t for _, t in odd_texts()]
