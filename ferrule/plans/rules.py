@@ -154,14 +154,22 @@ class Program:
             columns.append(F.col(FID).alias(f"__f{at}"))
         return df.select(*columns)
 
-    def _matches(self, facts: dict[str, DataFrame], atoms: tuple[Atom, ...], start: DataFrame | None = None, offset: int = 0, places: dict[int, DataFrame] | None = None) -> DataFrame:
+    def _matches(
+        self, facts: dict[str, DataFrame], atoms: tuple[Atom, ...], start: DataFrame | None = None, offset: int = 0,
+        places: dict[int, DataFrame] | None = None, least: dict[int, list[str]] | None = None,
+    ) -> DataFrame:
         """All combinations: a left-deep chain of equi-joins on shared variables; the optimiser may reorder it.
 
-        ``places`` gives other facts to single atoms, by their position.
+        ``places`` gives other facts to single atoms, by their position; ``least`` names the atoms of which only
+        the first fact of each key takes part, with their keys.
         """
         out = start
         for i, atom in enumerate(atoms):
             right = self._atom_frame({atom.predicate: places[i]} if places and i in places else facts, atom, offset + i)
+            if least and i in least:
+                rest = [c for c in right.columns if c not in least[i]]
+                first = right.groupBy(*least[i]).agg(F.min(F.struct(*rest)).alias("__first"))
+                right = first.select(*[F.col("__first")[c].alias(c) if c in rest else F.col(c) for c in right.columns])
             if out is None:
                 out = right
                 continue
@@ -188,10 +196,32 @@ class Program:
             return None
         return pair_by_rank(left, right, keys, [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys])
 
+    def _least(self, rule: Rule) -> dict[int, list[str]]:
+        """Atoms that use nothing up and of which a run can only take the first fact of each key, with their keys.
+
+        A used fact takes its least match.  Given all other variables, the least match has the least values of those
+        that stand in this atom alone, so no other fact of the key is ever taken, and they need not meet at all.
+        """
+        if self.order or rule.where is not None or rule.select or rule.aggregates:
+            return {}
+        if not any(self.predicates[a.predicate].is_linear and not a.keep for a in rule.body):
+            return {}
+        names = [{t for t in a.terms if isinstance(t, str)} for a in rule.body]
+        if any(n in set().union(*names) for n, _ in rule.lets):  # a let that takes a variable's name changes the order
+            return {}
+        out = {}
+        for i, a in enumerate(rule.body):
+            linear_fact = self.predicates[a.predicate].is_linear
+            alone = not linear_fact or [b.predicate for b in rule.body].count(a.predicate) == 1
+            keys = names[i] & set().union(*(n for j, n in enumerate(names) if j != i))
+            if alone and keys and (a.keep or not linear_fact) and (linear_fact or names[i] - keys):
+                out[i] = [t for t in dict.fromkeys(t for t in a.terms if isinstance(t, str)) if t in keys]
+        return out
+
     def apply(self, facts: dict[str, DataFrame], rule: Rule, places: dict[int, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame], dict[str, list[DataFrame]]]:
         """(matches taken, used fact ids by predicate, derived facts by predicate) of one run."""
         paired = self._pairs(facts, rule)
-        got = self._matches(facts, rule.body, places=places) if paired is None else paired
+        got = self._matches(facts, rule.body, places=places, least=self._least(rule)) if paired is None else paired
         for name, value in rule.lets:
             got = got.withColumn(name, value)
         if rule.where is not None:

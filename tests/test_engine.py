@@ -48,6 +48,21 @@ def test_kept_facts_stay(spark):
     assert rows(out["a"]) == [(0, 2)] and rows(out["b"]) == [(0, 5)]
 
 
+def test_kept_facts_do_not_meet_every_used_one(spark, monkeypatch):
+    from ferrule.plans import rules
+
+    tried = []
+    monkeypatch.setattr(rules, "select_min", lambda df, *more: tried.append(df.count()) or M.select_min(df, *more))
+    p = Program(spark).linear("a", "x int, node long").linear("b", "node long, y int").linear("c", "node long, y int, x int").persistent("e", "node long, z int").linear("d", "y int, x int, z int")
+    p.rule([Atom("a", ("X", "A"), keep=True), Atom("b", ("A", "Y"))], [Head("c", ("A", "Y", "X"))])
+    p.rule([Atom("c", ("A", "Y", "X")), Atom("e", ("A", "Z"))], [Head("d", ("Y", "X", "Z"))])
+    kept = [(x, n) for n in (0, 1) for x in range(n + 3, 20)] + [(None, 2), (1, 2), (7, None)]
+    used = [(n, y) for n in (0, 1, 2, 3) for y in range(15)] + [(0, 3), (None, 1)]
+    out = p.run({"a": p.frame("a", kept), "b": p.frame("b", used), "e": p.frame("e", [(n, z) for n in (0, 1, 2) for z in range(5, 9)])})
+    assert sorted(out["d"].collect(), key=str) == sorted([(y, {0: 3, 1: 4, 2: None}[n], 5) for n, y in used if n in (0, 1, 2)], key=str)
+    assert len(rows(out["b"])) == 16 and out["a"].count() == len(kept) and max(tried) == 46
+
+
 def test_two_facts_a_firing_and_equal_facts_count_twice(spark):
     p = Program(spark).linear("one", "node long").linear("ok", "node long")
     p.rule([Atom("one", ("A",)), Atom("one", ("A",))], [Head("ok", ("A",))])
