@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,11 @@ class Tables:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``round`` as SQL engines have it on doubles: what rounds to zero keeps its sign, where Spark's has no -0.0."""
+    return F.when(x < 0, -F.round(-x, digits)).when(x == 0, x).otherwise(F.round(x, digits))
+
+
 def succession(t: Tables) -> DataFrame:
     """Part succession graph: edge(node, dst, w) between parts on consecutive lines of an order."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import builtins as B
-from .base import Tables, query
+from .base import Tables, query, rounded
 
 LISTS = "(select l_orderkey as node, list(l_partkey order by l_partkey) as xs, list(distinct l_suppkey order by l_suppkey) as ys from lineitem group by 1) t"
 
@@ -81,7 +81,7 @@ VEC = "(select vec_id as node, list_transform(embedding[1:4], lambda x: x::doubl
 round(list_sum(list_transform(v, lambda x: abs(exp(x) - exp(0.0)))), 6) as res, list_transform(v, lambda x: round(ln(0.25 * exp(0.0) + 0.75 * exp(x)), 6)) as damped,
 [round(ln(exp(v[1]) + exp(1 + v[2])), 6), round(ln(exp(2 + v[1]) + exp(3 + v[2])), 6)] as conv, [0, 0, 1, 0] as unit from {VEC}""")
 def builtin_vector(spark, d):
-    r6 = lambda xs: F.transform(xs, lambda x: F.round(x, 6))
+    r6 = lambda xs: F.transform(xs, lambda x: rounded(x, 6))
     v, zero = F.col("v"), F.array(*[F.lit(0.0)] * 4)
     t = Tables(spark, d).embeddings.select(F.col("vec_id").alias("node"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
     matrix = F.array(*[F.lit(x) for x in (0.0, 1.0, 2.0, 3.0)])

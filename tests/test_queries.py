@@ -32,6 +32,22 @@ def test_oracle(spark, con, name):
     assert got == sorted(map(plain, want), key=repr)
 
 
+def same_text(spark, folder, name, tables):
+    """The query over a folder of its own gives, as text, what its SQL gives: signs of zero count."""
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    df = QUERIES[name](spark, str(folder))
+    want = c.sql(f"select {', '.join(f'"{x}"' for x in df.columns)} from ({ORACLE[name]}) t").fetchall()
+    assert sorted(repr(plain(tuple(r))) for r in df.collect()) == sorted(repr(plain(r)) for r in want)
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    vectors = [(1, [-1e-8, 1e-8, -0.0, 0.0]), (2, [-2.5e-7, -3e-7, 0.5, -0.1]), (3, [0.00390625, -0.00390625, 1.0, 0.3])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same_text(spark, tmp_path, "builtin_vector", ["embeddings"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
