@@ -151,7 +151,7 @@ def exchange_update(spark, d):
 @query("select node, us, event_id from (select user_id as node, epoch_us(ts) as us, event_id, row_number() over (partition by user_id order by ts, event_id) as rn from events) t where rn = 1", name="pred_agg_first")
 def pred_agg_first(spark, d):
     e = Tables(spark, d).events.select(F.col("user_id").alias("node"), "ts", "event_id")
-    return A.first_of(e, ["node"], ["ts"]).select("node", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    return A.first_of(e, ["node"], ["ts"]).select("node", sinks.epoch_micros(e, "ts").alias("us"), "event_id")
 
 
 MIN_EDGE = f"select node, w, dst from (select *, row_number() over (partition by node order by w {{0}}, dst) as rn from ({SUCCESSION}) e) t where rn = 1"

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ferrule.queries import ORACLE, QUERIES
@@ -48,6 +49,22 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
     same_text(spark, tmp_path, "builtin_vector", ["embeddings"])
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_time_slices_round_before_1970_and_in_any_zone(spark, tmp_path, zone):
+    times = ["1969-12-31 23:59:59.999500", "1969-12-31 22:00:00", "1969-12-31 21:59:59.999999", "1970-01-01 00:59:59.999999", "1884-05-03 07:30:00.000001"]
+    times += ["2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-11-03 01:30:00", "2262-01-01 00:00:00.000001", None]
+    times += ["2024-01-01 00:59:59.999499", "2024-01-01 00:59:59.999500", "1960-01-01 00:00:00.000499", "1960-01-01 00:00:00.000500"]
+    rows = [(i, t, i % 3, "click") for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        same_text(spark, tmp_path, "time_slices", ["events"])
+        same_text(spark, tmp_path, "pred_agg_first", ["events"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
