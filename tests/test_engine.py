@@ -63,6 +63,15 @@ def test_kept_facts_do_not_meet_every_used_one(spark, monkeypatch):
     assert len(rows(out["b"])) == 16 and out["a"].count() == len(kept) and max(tried) == 46
 
 
+def test_all_pairs_in_blocks(spark):
+    left = spark.createDataFrame([(i % 3, i) for i in range(40)], "node int, a int")
+    right = spark.createDataFrame([(i % 4, i % 9, None if i % 5 else str(i)) for i in range(50)], "node int, b int, c string")
+    want = left.join(right, "node")
+    assert rows(M.all_pairs(left, right, ["node"], lanes=3, block=4)) == rows(want)
+    assert rows(M.all_pairs(left, right, ["node"], F.col("b") < F.col("a"), lanes=3, block=4)) == rows(want.where("b < a"))
+    assert M.all_pairs(left, right.limit(0), ["node"]).isEmpty() and M.all_pairs(left.limit(0), right, ["node"]).isEmpty()
+
+
 def test_two_facts_a_firing_and_equal_facts_count_twice(spark):
     p = Program(spark).linear("one", "node long").linear("ok", "node long")
     p.rule([Atom("one", ("A",)), Atom("one", ("A",))], [Head("ok", ("A",))])

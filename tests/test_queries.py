@@ -65,6 +65,17 @@ def test_time_slices_round_before_1970_and_in_any_zone(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+@pytest.mark.parametrize("name", ["node_local_join"])
+def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, tmp_path, name):
+    people = [(i, 7, float(i % 50)) for i in range(400)] + [(1000, 8, 1.0), (1001, 8, None), (1002, None, 2.0), (1003, 9, 3.0)]
+    firms = [(i, 7, float(i % 40)) for i in range(90)] + [(1000, 8, 0.5), (1001, 8, None), (1002, None, 2.0), (1003, 10, 3.0), (None, 8, -1.0)]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(firms, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    same_text(spark, tmp_path, name, ["customer", "supplier"])
+    shares = [n for _, n in QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < sum(shares) / 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
