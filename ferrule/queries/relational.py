@@ -67,8 +67,8 @@ def node_local_join(spark, d):
 def theta_join(spark, d):
     t = Tables(spark, d)
     c = t.customer.select(F.col("c_nationkey").alias("node"), "c_custkey", "c_acctbal")
-    s = t.supplier.select(F.col("s_nationkey").alias("node"), "s_suppkey", "s_acctbal")
-    return c.join(s, "node").where("s_acctbal < c_acctbal").select("node", "c_custkey", "s_suppkey")
+    s = t.supplier.select(F.col("s_nationkey").alias("node"), "s_acctbal", "s_suppkey")
+    return M.all_pairs(c, s, ["node"], F.col("s_acctbal") < F.col("c_acctbal")).select("node", "c_custkey", "s_suppkey")
 
 
 @query("select c_custkey as node from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")

@@ -65,7 +65,7 @@ def test_time_slices_round_before_1970_and_in_any_zone(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-@pytest.mark.parametrize("name", ["node_local_join"])
+@pytest.mark.parametrize("name", ["node_local_join", "theta_join"])
 def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, tmp_path, name):
     people = [(i, 7, float(i % 50)) for i in range(400)] + [(1000, 8, 1.0), (1001, 8, None), (1002, None, 2.0), (1003, 9, 3.0)]
     firms = [(i, 7, float(i % 40)) for i in range(90)] + [(1000, 8, 0.5), (1001, 8, None), (1002, None, 2.0), (1003, 10, 3.0), (None, 8, -1.0)]
