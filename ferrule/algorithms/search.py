@@ -47,17 +47,33 @@ def minimax(spark: SparkSession, board: list[int], player: int = 1) -> DataFrame
 
 
 def tree_lookups(tree: DataFrame, root: int, queries: DataFrame) -> DataFrame:
-    """(key, value) by walking a binary search tree (node, key, value, left, right) level by level."""
-    at = queries.select("key", F.lit(root).cast("long").alias("node"))
-    named = tree.select("node", F.col("key").alias("k"), "value", "left", "right")
-    found = None
-    steps = Steps(tree.sparkSession, "lookups")
-    while not at.isEmpty():
-        here = steps.put(at.join(named, "node"))
-        hit = here.where("key = k").select("key", "value")
-        found = hit if found is None else found.unionByName(hit)
-        at = here.where("key <> k").select("key", F.when(F.col("key") < F.col("k"), F.col("left")).otherwise(F.col("right")).alias("node")).where("node is not null")
-    return found if found is not None else queries.select("key", F.lit(None).alias("value")).limit(0)
+    """(key, value) by walking a binary search tree (node, key, value, left, right) level by level.
+
+    All queries between two bounds walk together: what goes down the tree is one row a node with the bounds of the keys
+    that get there, so a level costs its nodes, not all queries.  The tree is dealt by node once and kept where it is.
+    """
+    spark = tree.sparkSession
+    steps = Steps(spark, "lookups")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = tree.select("node", F.col("key").alias("k"), "value", "left", "right").repartition(parts, "node").sortWithinPartitions("node").persist()
+    try:
+        most, kind = named.count(), named.schema["k"].dataType
+        bound = F.lit(None).cast(kind)
+        at = steps.put(spark.range(1).select(F.lit(root).cast("long").alias("node"), bound.alias("lo"), bound.alias("hi")))
+        found, level = None, 0
+        while not at.isEmpty():
+            if level > most:
+                raise ValueError("the nodes don't form a tree")
+            level += 1
+            here = steps.put(at.join(named, "node"))
+            hit = here.where("(lo is null or k > lo) and (hi is null or k < hi)").select("k", "value")
+            found = hit if found is None else found.unionByName(hit)
+            less = F.struct(F.col("left").alias("node"), "lo", F.least("hi", "k").alias("hi"))
+            more = F.struct(F.col("right").alias("node"), F.greatest("lo", "k").alias("lo"), "hi")
+            at = here.where("k is not null").select(F.explode(F.array(less, more)).alias("to")).select("to.*").where("node is not null and (lo is null or hi is null or lo < hi)")
+    finally:
+        named.unpersist()
+    return queries.join(found, F.col("key") == F.col("k")).select("key", "value")
 
 
 def exchange_sort(lists: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..algorithms import graphs as G
 from ..algorithms import numeric as N
 from ..algorithms import search as Q
+from ..operators.aggregates import number_from
 from ..plans.fixpoint import retract
 from ..plans.rules import Atom, Head, Program
 from .base import SUCCESSION, TRADE, Tables, first_part, query, rounds, succession, trade
@@ -186,19 +187,18 @@ def power_grid_served(spark, d):
 
 @query("select o_orderkey as key, o_totalprice as value from orders")
 def tree_lookup(spark, d):
-    """Keys looked up by walking an implicit balanced tree over the order keys."""
-    o = Tables(spark, d).orders
-    n = (o.agg(F.max("o_orderkey")).first()[0] or 0) + 1
-    depth = max(1, n.bit_length())
-    # node k of a complete tree stands for the middle of its share of the key range
-    heap = spark.range(1, 1 << depth).select(F.col("id").alias("node"))
-    level = F.floor(F.log2(F.col("node") + 0.5)).cast("int")
-    span = F.pow(F.lit(2), F.lit(depth) - level).cast("long")
-    key = ((F.col("node") - F.pow(F.lit(2), level).cast("long")) * span + (span / 2).cast("long")).cast("long")
-    named = heap.withColumn("key", F.when(F.col("node") < (1 << depth), key))
-    stored = o.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    bottom = F.col("node") >= (1 << (depth - 1))
-    tree = named.join(stored, "key", "left")
-    tree = tree.select("node", "key", "value", F.when(~bottom, F.col("node") * 2).alias("left"), F.when(~bottom, F.col("node") * 2 + 1).alias("right"))
-    zero = stored.where("key = 0")  # the only key that no middle stands for
-    return Q.tree_lookups(tree, 1, stored.where("key <> 0").select("key")).unionByName(zero)
+    """Keys looked up by walking a balanced tree over the order keys: as many nodes as there are keys, however far apart."""
+    stored = Tables(spark, d).orders.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    facts = stored.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("value")).alias("value"))
+    numbered = number_from(facts, 1, ["key"])
+    n = numbered.count()
+    if n == 0:
+        return stored
+    # in key order, node i has all nodes nearer to it than its lowest bit below it; the right side may be cut short by n
+    half = F.expr("(id & -id) div 2")
+    right = F.col("id") + F.least(half, F.expr(f"shiftleft(1L, length(bin({n}L - id)) - 1)"))
+    tree = numbered.select(
+        F.col("id").alias("node"), "key", "value", F.when(half > 0, F.col("id") - half).alias("left"), F.when((half > 0) & (F.col("id") < n), right).alias("right"),
+    )
+    got = Q.tree_lookups(tree, 1 << (n.bit_length() - 1), facts.select("key")).select("key", F.inline("value"))
+    return got.unionByName(stored.where("key is null"))  # no walk ends at a missing key

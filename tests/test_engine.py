@@ -300,6 +300,20 @@ def test_searches(spark):
     assert len(placed) == 4 and all(sum(4 for _, g in placed if g == k) <= 10 for k in (1, 2))
 
 
+def test_tree_walk_takes_down_bounds_not_queries(spark, monkeypatch):
+    put, written = Q.Steps.put, []
+    monkeypatch.setattr(Q.Steps, "put", lambda self, df: written.append(put(self, df)) or written[-1])
+    # 6 stands where no walk for it gets, 4 is shadowed by 4 above it, 11 hangs on nothing
+    nodes = [(1, 5, "e", 2, 3), (2, 2, "b", 4, 5), (3, 9, "i", None, 6), (4, 6, "f", None, None), (5, 4, "d", 7, None), (6, None, "n", None, 8), (7, 4, "x", None, None), (8, 12, "l", None, None), (9, 11, "k", None, None)]
+    tree = spark.createDataFrame(nodes, "node long, key int, value string, left long, right long")
+    asked = spark.createDataFrame([(k,) for k in range(14)] * 20, "key int")
+    assert rows(Q.tree_lookups(tree, 1, asked)) == sorted([(2, "b"), (4, "d"), (5, "e"), (9, "i")] * 20)
+    assert sum(df.count() for df in written) <= len(nodes) + 1
+    loop = spark.createDataFrame([(1, 5, "e", 1, 2), (2, 9, "i", None, None)], "node long, key int, value string, left long, right long")
+    with pytest.raises(ValueError):
+        Q.tree_lookups(loop, 1, asked)
+
+
 def test_builtin_registry(spark):
     assert len(B.NAMES) == 71 == len(set(B.NAMES)) and all(callable(f) for f in B.FUNCTIONS.values())
     one = spark.range(1)

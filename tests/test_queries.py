@@ -76,6 +76,13 @@ def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, tmp_path, name):
     assert max(shares) < sum(shares) / 3
 
 
+@pytest.mark.parametrize("keys", [[0, -5, 3, 3, None, None, 10**15, 7, 8, 9, 11, 12, 2], [4], [None], []])
+def test_tree_over_sparse_and_odd_keys(spark, tmp_path, keys):
+    rows = [(k, None if i == 3 else i / 4) for i, k in enumerate(keys)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    same_text(spark, tmp_path, "tree_lookup", ["orders"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
